@@ -83,4 +83,4 @@ def block_kind(text: Column, only: Column | None = None) -> Column:
 
 def classify(text: Column) -> Column:
     """Kind of a whole text, ignoring outer white space."""
-    return let(strip(text), block_kind)
+    return let(strip(text), lambda trimmed: block_kind(trimmed))

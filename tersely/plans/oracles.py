@@ -162,8 +162,8 @@ log_texts AS (
       ELSE string_agg(l, chr(10) ORDER BY i) END AS line
     FROM log_runs GROUP BY doc_id, run)
   GROUP BY doc_id),
-trace_texts AS (
-  SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), chr(10))
+elided_texts AS (
+  SELECT doc_id, trimmed, ls, array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), chr(10))
     || E'\\n```\\nTraceback (most recent call last):\\n'
     || array_to_string(['  File "m' || i || '.py", line ' || i || ', in f' for i in range(0, 3)], chr(10))
     || chr(10) || '[... ' || (turn + 1) || ' frames omitted ...]' || chr(10)
@@ -171,13 +171,19 @@ trace_texts AS (
          for i in range(turn + 4, turn + 7)], chr(10))
     || E'\\nValueError: bad\\n```\\n' AS rewritten
   FROM kinds WHERE whole = 'stacktrace'),
+trace_texts AS (
+  SELECT doc_id, ceil(length(rewritten) / 4.0) < ceil(length(trimmed) / 4.0) AS elided,
+    CASE WHEN ceil(length(rewritten) / 4.0) < ceil(length(trimmed) / 4.0) THEN rewritten
+      ELSE 'trace:' || chr(10) || '  stack[' || len(ls) || ']:' || chr(10)
+        || array_to_string(['    - ' || rtrim(x) || chr(10) for x in ls], '') END AS rewritten
+  FROM elided_texts),
 seg_texts AS (
   SELECT s.*, CASE
       WHEN s.kind = 'json' THEN 'data[' || (p.turn + 2) || ']{{id,role}}:' || chr(10) || p.cells2
       WHEN s.kind = 'yaml' THEN E'data:\\n  service: checkout\\n  items[' || (p.turn + 2)
         || ']{{id,role}}:' || chr(10) || p.cells4
       WHEN s.kind = 'log' THEN l.rewritten
-      WHEN s.kind = 'stacktrace' THEN r.rewritten END AS rewritten
+      WHEN s.kind = 'stacktrace' THEN r.rewritten END AS rewritten, r.elided
   FROM segs s JOIN kinds p USING (doc_id) LEFT JOIN log_texts l USING (doc_id)
     LEFT JOIN trace_texts r USING (doc_id)),
 joined AS (
@@ -420,7 +426,9 @@ FROM scored""",
     SELECT s.doc_id, s.seg_no, CASE s.kind
       WHEN 'json' THEN 'json: compressed json into compact format'
       WHEN 'log' THEN 'log: compressed with plugin builtin.log'
-      WHEN 'stacktrace' THEN 'stacktrace: compressed with plugin builtin.stacktrace'
+      WHEN 'stacktrace' THEN CASE WHEN s.elided
+        THEN 'stacktrace: compressed with plugin builtin.stacktrace'
+        ELSE 'stacktrace: compressed stack trace into compact format' END
       WHEN 'table' THEN 'table: compression score below threshold; kept original'
       WHEN 'yaml' THEN CASE WHEN ceil(length(s.rewritten) / 4.0) < ceil(length(s.text) / 4.0)
         THEN 'yaml: compressed with plugin builtin.yaml'

@@ -384,7 +384,7 @@ def size_and_rule_guards(spark, sf):
         "doc_id",
         "action",
         "reason",
-        F.exists("segments", lambda s: s["reason"] == C.DISABLED).alias("json_off"),
+        F.exists("segments", lambda s: s["reason"].eqNullSafe(C.DISABLED)).alias("json_off"),
     )
 
 

@@ -15,7 +15,7 @@ from tersely.functions.text import strip
 OUTPUT = "stream string, place long, n long, line string"
 STATE = "norm string, n long, first_place long, first_line string, last_place long, last_line string"
 
-# Time without a line after which an open run is given out.
+# Event time without a line after which an open run is given out.
 IDLE_MS = 60_000
 
 
@@ -48,6 +48,20 @@ def _runs_of_batch(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _merge(held: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    """The run left open by ordered rows, and the output of the runs they close."""
+    closed: list[tuple] = []
+    for run in _runs_of_batch(rows).itertuples(index=False, name=None):
+        run = (run[0], int(run[1]), int(run[2]), run[3], int(run[4]), run[5])
+        if held is not None and held[0] == run[0]:
+            held = (held[0], held[1] + run[1], held[2], held[3], run[4], run[5])
+            continue
+        if held is not None:
+            closed.extend(_lines_of(held))
+        held = run
+    return held, closed
+
+
 def _advance(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
@@ -58,37 +72,41 @@ def _advance(
         return
     # The rows of one key in one trigger, which the source's rate limit bounds.
     rows = pd.concat(batches).sort_values("place")
-    found = _runs_of_batch(rows)
-    held = state.get if state.exists else None
-    closed: list[tuple] = []
-    for run in found.itertuples(index=False, name=None):
-        run = (run[0], int(run[1]), int(run[2]), run[3], int(run[4]), run[5])
-        if held is not None and held[0] == run[0]:
-            held = (held[0], held[1] + run[1], held[2], held[3], run[4], run[5])
-            continue
-        if held is not None:
-            closed.extend(_lines_of(held))
-        held = run
+    held, closed = _merge(state.get if state.exists else None, rows)
     state.update(held)
-    state.setTimeoutDuration(IDLE_MS)
+    if "seen" in rows:
+        idle_from = rows["seen"].max().value // 1_000_000 + IDLE_MS
+        state.setTimeoutTimestamp(max(idle_from, state.getCurrentWatermarkMs() + 1))
     yield _frame(key[0], closed)
 
 
 def collapse_stream(
-    lines: DataFrame, stream_col: str, place_col: str, line_col: str = "line"
+    lines: DataFrame,
+    stream_col: str,
+    place_col: str,
+    line_col: str = "line",
+    ts_col: str | None = None,
+    delay: str = "10 minutes",
 ) -> DataFrame:
     """Collapsed lines of a streaming table of log lines.
 
     State per stream is its open run. A run is given out when the line differs
-    or when no line came for a while. Lines must arrive in order of
-    ``place_col`` from trigger to trigger; within one they may be mixed.
+    and, given an event time column, when the watermark has passed its last
+    line by ``IDLE_MS``. Lines must arrive in order of ``place_col`` from
+    trigger to trigger; within one they may be mixed.
     """
-    rows = lines.filter(strip(F.col(line_col)) != "").select(
+    filled = lines.filter(strip(F.col(line_col)) != "")
+    columns = [
         F.col(stream_col).cast("string").alias("stream"),
         F.col(place_col).cast("long").alias("place"),
         F.col(line_col).alias("line"),
         normalise_line(F.col(line_col)).alias("norm"),
-    )
+    ]
+    if ts_col is None:
+        rows, timeout = filled.select(*columns), GroupStateTimeout.NoTimeout
+    else:
+        rows = filled.select(*columns, F.col(ts_col).alias("seen")).withWatermark("seen", delay)
+        timeout = GroupStateTimeout.EventTimeTimeout
     return rows.groupBy("stream").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _advance, OUTPUT, STATE, "append", timeout
     )

@@ -14,6 +14,8 @@ MAX_CELL = 131072
 _EOL = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
 FIRST_LINES = rf"(?U)^[\s\x1C-\x1F]*[^{_EOL}]*[,\t][^{_EOL}]*[{_EOL}][\s\x1C-\x1F]*[^{_EOL}]*[,\t]"
 
+TWO_LINES = rf"(?U)^[\s\x1C-\x1F]*([^{_EOL}]*)[{_EOL}][\s\x1C-\x1F]*([^{_EOL}]*)"
+
 
 def _field(delimiter: str) -> str:
     # An optional quoted part (quotes doubled inside, may run over line ends),
@@ -25,13 +27,15 @@ def _field(delimiter: str) -> str:
 def _rows(lines: Column, delimiter: str) -> Column:
     field = _field(delimiter)
     record = rf"{field}(?:{delimiter}{field})*+"
-    cell = rf"(?:^|{delimiter})({field})"
+    # With a delimiter put in front every cell is a non-empty match.
+    lead = F.lit("\t" if delimiter == r"\t" else delimiter)
     found = F.filter(
         F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(record), F.lit(0)),
         lambda text: text != "",
     )
     cells = lambda text: F.transform(
-        F.regexp_extract_all(text, F.lit(rf"\G{cell}"), F.lit(1)), _value
+        F.regexp_extract_all(F.concat(lead, text), F.lit(rf"\G{delimiter}({field})"), F.lit(1)),
+        _value,
     )
     return F.transform(found, cells)
 
@@ -67,7 +71,13 @@ def parse_rows(text: Column) -> Column:
         small = F.forall(rows, lambda r: F.forall(r, lambda c: F.length(c) <= MAX_CELL))
         return F.when(even & small, rows)
 
-    return F.when(text.rlike(FIRST_LINES), let(filled_lines(text), with_lines))
+    # Without quotes and tabs a first pair of lines with unequal commas settles it.
+    commas = lambda group: F.length(
+        F.regexp_replace(F.regexp_extract(text, TWO_LINES, group), "[^,]", "")
+    )
+    simple = ~F.contains(text, F.lit('"')) & ~F.contains(text, F.lit("\t"))
+    uneven = F.when(simple, commas(1) != commas(2)).otherwise(F.lit(False))
+    return F.when(text.rlike(FIRST_LINES) & ~uneven, let(filled_lines(text), with_lines))
 
 
 def list_block(rows: Column) -> Column:

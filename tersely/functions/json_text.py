@@ -50,14 +50,13 @@ def _decimal_parts(token: Column) -> Column:
     # Up to 15 significant digits a number keeps the digits it is written
     # with; beyond that the nearest double decides.
     pattern = r"^-?(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$"
-    as_double = token.cast("double").cast("string")
     written = F.regexp_replace(
         F.concat(F.regexp_extract(token, pattern, 1), F.regexp_extract(token, pattern, 2)),
         "^0+",
         "",
     )
     source = F.when(F.length(F.regexp_replace(written, "0+$", "")) <= 15, token).otherwise(
-        as_double
+        let(token.cast("double"), _shortest)
     )
 
     def parts(number: Column) -> Column:
@@ -79,6 +78,16 @@ def _decimal_parts(token: Column) -> Column:
     return let(source, parts)
 
 
+def _shortest(number: Column) -> Column:
+    """The fewest digits, 15 to 17, that read back as the same double."""
+    forms = [F.format_string(f"%.{places}e", number) for places in (14, 15, 16)]
+    return (
+        F.when(forms[0].cast("double") == number, forms[0])
+        .when(forms[1].cast("double") == number, forms[1])
+        .otherwise(forms[2])
+    )
+
+
 def _float_text(parts: Column) -> Column:
     digits, point = parts["digits"], parts["point"]
     count = F.length(digits)
@@ -168,10 +177,37 @@ def record_lists(token: Column) -> Column:
     return let(F.transform(objects, split_pairs), finished)
 
 
+NO_RECORDS = "struct<keys:array<string>,rows:array<string>,count:int>"
+
+
+def _with_context(found: Column) -> Column:
+    """Token structs less the keys and colons, which move into their value.
+
+    Struct fields: ``tok`` the raw token, ``rec`` a record list or NULL,
+    ``label`` the quoted key or NULL, ``empty`` true for an empty container.
+    """
+
+    def value_at(i: Column) -> Column:
+        token = F.get(found, i)
+        return F.struct(
+            token["tok"].alias("tok"),
+            token["rec"].alias("rec"),
+            F.when(F.get(found, i - 1)["tok"] == ":", F.get(found, i - 2)["tok"]).alias("label"),
+            F.coalesce(F.get(found, i + 1)["tok"].isin("]", "}"), F.lit(False)).alias("empty"),
+        )
+
+    is_value = lambda i: (F.get(found, i)["tok"] != ":") & F.coalesce(
+        F.get(found, i + 1)["tok"] != ":", F.lit(True)
+    )
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(found) - 1), is_value), value_at
+    )
+
+
 def tokens(text: Column) -> Column:
-    """Tokens of a JSON text, a flat record list with equal keys being one token.
+    """Values, brackets and commas of a JSON text; see ``_with_context``.
 
-    Struct fields: ``tok`` the raw token, ``rec`` the record list or NULL.
+    A flat record list with equal keys is one token.
     """
 
     def refine(token: Column) -> Column:
@@ -183,13 +219,24 @@ def tokens(text: Column) -> Column:
                 is_list & rec.isNull(),
                 F.transform(
                     F.regexp_extract_all(token, F.lit(TOKEN), F.lit(0)),
-                    lambda t: F.struct(t.alias("tok"), F.when(F.lit(False), rec).alias("rec")),
+                    lambda t: F.struct(
+                        t.alias("tok"), F.lit(None).cast(NO_RECORDS).alias("rec")
+                    ),
                 ),
             ).otherwise(F.array(F.struct(token.alias("tok"), rec.alias("rec")))),
         )
 
     coarse = F.regexp_extract_all(text, F.lit(COARSE_TOKEN), F.lit(0))
-    return F.flatten(F.transform(coarse, refine))
+    return let(F.flatten(F.transform(coarse, refine)), _with_context)
+
+
+def plain_tokens(text: Column) -> Column:
+    """The same with every record on its own."""
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
+        lambda t: F.struct(t.alias("tok"), F.lit(None).cast(NO_RECORDS).alias("rec")),
+    )
+    return let(found, _with_context)
 
 
 def repeated_keys(text: Column) -> Column:

@@ -6,14 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
-from tersely.functions.text import filled_lines, let, rstrip, strip
+from tersely.functions.text import filled_lines, let, rstrip, split_lines
 
 # --- fixed values -----------------------------------------------------------
-FRAME_PREFIXES = ('File "', "at ", "frame #")
-FRAME_MARK = ".go:"
+FRAME = r"(?U)^[\s\x1C-\x1F]*(?:File \"|at |frame #)|\.go:"
 TRACE_WORD = "Traceback"
 TRACE_PATTERN = r"(?U)\bat [^\n]*:\d+"
-SCORED_PREFIXES = ("File ", "at ")
+SCORED_FRAME = r"(?U)^[\s\x1C-\x1F]*(?:File |at )"
 HEAD = 3
 TAIL = 3
 MIN_LINES = 8
@@ -23,25 +22,12 @@ MIN_FRAMES = 6
 
 def is_frame(line: Column) -> Column:
     """True for a line that shows one stack frame."""
-
-    def test(trimmed: Column) -> Column:
-        hit = F.contains(trimmed, F.lit(FRAME_MARK))
-        for prefix in FRAME_PREFIXES:
-            hit = hit | F.startswith(trimmed, F.lit(prefix))
-        return hit
-
-    return let(strip(line), test)
+    return line.rlike(FRAME)
 
 
 def frame_count(text: Column) -> Column:
     """Frames as the score counts them."""
-
-    def scored(line: Column) -> Column:
-        return F.startswith(strip(line), F.lit(SCORED_PREFIXES[0])) | F.startswith(
-            strip(line), F.lit(SCORED_PREFIXES[1])
-        )
-
-    return F.size(F.filter(filled_lines(text), scored))
+    return F.size(F.filter(split_lines(text), lambda line: line.rlike(SCORED_FRAME)))
 
 
 def is_trace(text: Column) -> Column:
@@ -67,25 +53,27 @@ def elide_frames(text: Column) -> Column:
     """
 
     def with_lines(lines: Column) -> Column:
-        frames = F.filter(
-            F.sequence(F.lit(0), F.size(lines) - 1), lambda i: is_frame(F.get(lines, i))
-        )
         return F.when(
-            F.size(lines) >= MIN_LINES, let(frames, lambda found: with_frames(lines, found))
+            F.size(lines) >= MIN_LINES,
+            let(F.transform(lines, is_frame), lambda flags: with_flags(lines, flags)),
         )
 
-    def with_frames(lines: Column, found: Column) -> Column:
+    def with_flags(lines: Column, flags: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(flags, i))
+        return let(found, lambda f: with_frames(lines, flags, f))
+
+    def with_frames(lines: Column, flags: Column, found: Column) -> Column:
         last_head = F.get(found, F.lit(HEAD - 1))
         first_tail = F.get(found, F.size(found) - TAIL)
-        dropped = F.slice(found, F.lit(HEAD + 1), F.greatest(F.size(found) - HEAD - TAIL, F.lit(0)))
         kept = F.filter(
             F.sequence(F.lit(0), F.size(lines) - 1),
-            lambda i: (i <= last_head) | (i >= first_tail) | ~is_frame(F.get(lines, i)),
+            lambda i: (i <= last_head) | (i >= first_tail) | ~F.get(flags, i),
         )
-        short = F.when(F.size(dropped) == 0, form.block(lines)).otherwise(
-            let(kept, lambda k: with_kept(lines, k))
+        short = let(kept, lambda k: with_kept(lines, k))
+        return F.when(
+            F.size(found) >= MIN_FRAMES,
+            let(short, lambda out: F.when(out != text, out)),
         )
-        return F.when(F.size(found) >= MIN_FRAMES, F.nullif(short, text))
 
     def with_kept(lines: Column, kept: Column) -> Column:
         def emit(index: Column, k: Column) -> Column:

@@ -1,8 +1,8 @@
 """Rewrite the structured parts of documents when that makes them shorter.
 
 Everything but nested JSON is decided and rewritten inside the document's row:
-no shuffle. Only documents that hold JSON to be rewritten are shuffled, once,
-by their id.
+no shuffle. Only documents that may hold JSON, by a cheap look at the text, are
+shuffled, once, by their id. Every document is classified once.
 """
 
 from __future__ import annotations
@@ -246,14 +246,9 @@ def _decided(docs: DataFrame, text_col: str, options: Options) -> DataFrame:
 
 
 def _may_hold_json(text: Column) -> Column:
-    """Cheap test that no document with a JSON segment fails."""
-    return text.rlike(r"(?U)^[\s\x1C-\x1F]*(?:[\[{\"\-0-9]|true|false|null)") | F.contains(
-        text, F.lit("```")
-    )
-
-
-def _json_open() -> Column:
-    return F.coalesce(F.exists("_open", lambda s: s["kind"] == "json"), F.lit(False))
+    """Cheap test that every document with a JSON segment passes."""
+    start = r"(?U)^[\s\x1C-\x1F]*(?:[\[{\"\-0-9]|true|false|null)"
+    return F.coalesce(text.rlike(start) | F.contains(text, F.lit("```")), F.lit(False))
 
 
 @cache
@@ -263,7 +258,11 @@ def _token_entries() -> Column:
         json_text.tokens(s["text"]),
         lambda t, pos: F.struct((i + 1).alias("seg"), pos.alias("pos"), t.alias("t")),
     )
-    found = F.transform("_row._open", lambda s, i: F.when(s["kind"] == "json", entries(s, i)))
+    # Asked of all segments: documents stopped by a guard have no open ones.
+    found = F.transform(
+        "_row._segments",
+        lambda s, i: F.when(F.get("_row._open", i)["kind"] == "json", entries(s, i)),
+    )
     return F.flatten(F.filter(found, lambda listed: listed.isNotNull()))
 
 
@@ -324,12 +323,12 @@ def compact_documents(
     ``id_col`` must be unique and not NULL. Other columns pass through.
     """
     options = options or DEFAULTS
-    here = _prepared(documents, text_col, options).filter(~_json_open())
+    may_hold = _may_hold_json(F.col(text_col))
+    here = _prepared(documents.filter(~may_hold), text_col, options)
     here = here.withColumn("_forms", F.lit(None).cast("map<int,string>"))
     in_row = _decided(_with_rewrites(here, options), text_col, options)
-    candidates = documents.filter(_may_hold_json(F.col(text_col))).repartition(id_col)
-    with_json = _prepared(candidates, text_col, options).filter(_json_open())
-    forms = _json_forms(with_json, id_col)
+    candidates = documents.filter(may_hold).repartition(id_col)
+    forms = _json_forms(_prepared(candidates, text_col, options), id_col)
     shuffled = _decided(_with_rewrites(forms, options), text_col, options)
     return in_row.unionByName(shuffled)
 

@@ -15,64 +15,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
-from tersely.functions.json_text import TOKEN, atom_value, string_value, tokens
+from tersely.functions.json_text import atom_value, plain_tokens, string_value, tokens
 
 
 def _quoted(names: Sequence[str]) -> str:
     return ", ".join(f"`{name}`" for name in names)
 
 
-def plain_tokens(text: Column) -> Column:
-    """Tokens of a JSON text, each value on its own."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
-        lambda t: F.struct(
-            t.alias("tok"),
-            F.lit(None).cast("struct<keys:array<string>,rows:array<string>,count:int>").alias("rec"),
-        ),
-    )
-
-
 def value_rows(token_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of values with depth, name and child count.
+    """Rows of values with depth and child count.
 
     ``token_rows`` has the keys, ``pos`` and ``t`` (token struct). Rows whose
-    token is NULL pass through untouched by the windows.
+    token is NULL pass through.
     """
     keys = list(keys)
     by_pos = W.partitionBy(*keys).orderBy("pos")
     tok = F.col("t.tok")
     opens = tok.isin("{", "[").cast("int")
     closes = tok.isin("}", "]").cast("int")
-    near = token_rows.select(
-        *token_rows.columns,
-        F.sum(opens - closes).over(by_pos.rowsBetween(W.unboundedPreceding, 0)).alias("level"),
-        F.lead(tok).over(by_pos).alias("after"),
-        F.lag(tok).over(by_pos).alias("before"),
-        F.lag(tok, 2).over(by_pos).alias("label"),
+    levelled = token_rows.withColumn(
+        "level", F.sum(opens - closes).over(by_pos.rowsBetween(W.unboundedPreceding, 0))
     )
-    is_key = F.startswith(tok, F.lit('"')) & F.coalesce(F.col("after") == ":", F.lit(False))
-    near = near.filter(F.coalesce((tok != ":") & ~is_key, F.lit(True)))
     # A container's commas lie between its two brackets on the same level,
     # and containers of one level follow each other without overlap.
-    near = near.withColumn("inner", F.col("level") + F.coalesce(closes, F.lit(0)))
+    levelled = levelled.withColumn("inner", F.col("level") + F.coalesce(closes, F.lit(0)))
     by_level = W.partitionBy(*keys, "inner").orderBy("pos")
     comma = (tok == ",").cast("int")
-    near = near.withColumn(
+    counted = levelled.withColumn(
         "commas", F.sum(comma).over(by_level.rowsBetween(W.unboundedPreceding, 0))
     )
-    near = near.withColumn("at_close", F.when(closes == 1, F.col("commas"))).withColumn(
+    counted = counted.withColumn("at_close", F.when(closes == 1, F.col("commas"))).withColumn(
         "at_close",
         F.expr(
             "lead(at_close) IGNORE NULLS OVER "
             f"(PARTITION BY {_quoted(keys)}, `inner` ORDER BY pos)"
         ),
     )
-    near = near.filter(F.coalesce(~tok.isin(",", "}", "]"), F.lit(True)))
-    return near.withColumn("depth", F.col("level") - F.coalesce(opens, F.lit(0))).withColumn(
+    values = counted.filter(F.coalesce(~tok.isin(",", "}", "]"), F.lit(True)))
+    return values.withColumn("depth", F.col("level") - F.coalesce(opens, F.lit(0))).withColumn(
         "children",
-        F.when(F.col("after").isin("]", "}"), F.lit(0)).otherwise(
-            F.when(opens == 1, F.col("at_close") - F.col("commas") + 1)
+        F.when(
+            opens == 1,
+            F.when(F.col("t.empty"), F.lit(0).cast("long")).otherwise(
+                F.col("at_close") - F.col("commas") + 1
+            ),
         ),
     )
 
@@ -80,11 +66,11 @@ def value_rows(token_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def value_line(root: str = form.ROOT_NAME) -> Column:
     """Compact line (or lines, for a record list) of one value row."""
     tok, rec, depth = F.col("t.tok"), F.col("t.rec"), F.col("depth")
-    item = (depth > 0) & (F.col("before") != ":")
+    item = (depth > 0) & F.col("t.label").isNull()
     name = (
         F.when(depth == 0, F.lit(root))
         .when(item, F.lit("-"))
-        .otherwise(string_value(F.col("label")))
+        .otherwise(string_value(F.col("t.label")))
     )
     head = F.concat(form.indent(depth.cast("int")), name)
     rows = F.transform(
@@ -124,15 +110,15 @@ def json_nodes(
         .when(tok.isin("true", "false"), F.lit("boolean"))
         .otherwise(F.lit("number"))
     )
-    named = F.col("before") == ":"
+    label = F.col("t.label")
     return value_rows(rows, [id_col]).select(
         id_col,
         "pos",
         "depth",
-        F.when(named, string_value(F.col("label"))).alias("key"),
+        F.when(label.isNotNull(), string_value(label)).alias("key"),
         kind.alias("kind"),
         F.when(~tok.isin("{", "["), atom_value(tok)).alias("value"),
-        F.when(tok.isin("{", "["), F.col("children")).alias("children"),
+        "children",
     )
 
 

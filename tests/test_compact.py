@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tersely import Options, compact_documents
-from tersely.operators.compact import NOT_SHORTER, segment_breakdown
+from tersely.operators.compact import NOT_SHORTER, REPEATED_KEYS, segment_breakdown
 
 ERRORS = '{"code":502,"message":"upstream timeout"}'
 REPEATED_LOGS = "".join(f"2026-04-12T10:00:0{n}Z ERROR database timeout\n" for n in range(4))
@@ -94,11 +94,13 @@ def test_options(spark, texts):
     table = "a,b\n" * 30
     log = "INFO some event\n" * 3
     big = "x" * 200
-    docs = texts([table, log, big])
+    fenced = "see\n```json\n" + "[1, 2, 3]" * 30 + "\n```\n"
+    docs = texts([table, log, big, fenced, None])
 
     def run(**settings):
         rows = compact_documents(docs, options=Options(**settings)).orderBy("doc_id").collect()
-        return [(row.action, row.reason, [s.reason for s in row.segments]) for row in rows]
+        assert [row.doc_id for row in rows] == [0, 1, 2, 3, 4]
+        return [(row.action, row.reason, [s.reason for s in row.segments or []]) for row in rows]
 
     base = run()
     assert base[0][2] == ["compression score below threshold; kept original"]
@@ -107,9 +109,13 @@ def test_options(spark, texts):
     assert run(threshold=0.1)[0][2] == ["compressed table into compact format"]
     small = run(max_input_bytes=199)
     assert small[2][:2] == ("pass-through", "input exceeds max_input_bytes")
+    assert small[3][:2] == ("pass-through", "input exceeds max_input_bytes")
     assert run(max_input_bytes=200)[2][1] == "ok"
     other = run(format_version="9")
     assert {row[1] for row in other} == {"unsupported format version 9"}
+    repeated = texts(['{"a": 1, "b": 2, "a": 3}' + " " * 90])
+    kept = compact_documents(repeated).first()
+    assert kept.output == kept.text and kept.segments[0].reason == REPEATED_KEYS
 
 
 def test_breakdown(spark, texts):

@@ -58,7 +58,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     Totals that are not whole numbers, or are negative, become 0. A counter
     block needs four whole numbers, all but ``delta`` not negative.
     """
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     loose = "map<string,string>"
     top = F.from_json("value", loose)
     whole = r"^-?\d+$"

@@ -21,6 +21,7 @@ from tersely.functions.text import compression_ratio, input_bytes, let
 from tersely.operators.hooks import BUILTIN, HEURISTIC, Compressor, Estimator
 from tersely.operators.json_docs import value_line, value_rows
 from tersely.operators.segments import line_ranges_of, materialise, segments_of
+from tersely.operators.skew import spread
 
 # --- fixed values -----------------------------------------------------------
 RULE_OF_KIND = {
@@ -327,7 +328,7 @@ def compact_documents(
     here = _prepared(documents.filter(~may_hold), text_col, options)
     here = here.withColumn("_forms", F.lit(None).cast("map<int,string>"))
     in_row = _decided(_with_rewrites(here, options), text_col, options)
-    candidates = documents.filter(may_hold).repartition(id_col)
+    candidates = spread(documents.filter(may_hold), id_col)
     forms = _json_forms(_prepared(candidates, text_col, options), id_col)
     shuffled = _decided(_with_rewrites(forms, options), text_col, options)
     return in_row.unionByName(shuffled)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
 from tersely.functions.json_text import atom_value, plain_tokens, string_value, tokens
+from tersely.operators.skew import spread
 
 
 def _quoted(names: Sequence[str]) -> str:
@@ -98,7 +99,7 @@ def json_nodes(
 
     ``documents`` holds valid JSON texts under a unique id.
     """
-    rows = documents.repartition(id_col).select(
+    rows = spread(documents, id_col).select(
         id_col, F.posexplode(plain_tokens(F.col(text_col))).alias("pos", "t")
     )
     tok = F.col("t.tok")
@@ -126,7 +127,7 @@ def json_compact(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Compact block per JSON document: ``(id, compact)``."""
-    rows = documents.repartition(id_col).select(
+    rows = spread(documents, id_col).select(
         id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "t")
     )
     lines = value_rows(rows, [id_col]).select(id_col, "pos", value_line().alias("line"))

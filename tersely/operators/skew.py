@@ -41,6 +41,16 @@ def with_hot_flag(
     return marked.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot")), True
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hash-partitioned by a unique key over all shuffle partitions.
+
+    The number is given, so small partitions are not merged by their size in
+    bytes: what follows is costly per byte and multiplies the rows.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, key)
+
+
 def split_of(bucket: Column | None) -> Column:
     """Bucket of a hot row; 0 for all others."""
     if bucket is None:

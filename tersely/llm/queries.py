@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tersely.llm import bpe, pii, token_files
+from tersely.llm import bpe, near_copies, pii, substrings, token_files
 from tersely.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -13,6 +14,14 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without windows of 20 words that start earlier."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and checksums of all documents, read back from the token files."""
     docs = table(spark, sf_dir, "documents")
@@ -24,10 +33,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents, by shingles of four words."""
+    docs = table(spark, sf_dir, "documents")
+    return near_copies.near_copies(docs, shingle=4, percent=80)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the text decoded from them, as digests."""
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op7_pii, op9_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_substrings, op5_token_files, op7_pii, op8_near_copies, op9_bpe)
+}
 ORACLES: dict[str, str] = {}

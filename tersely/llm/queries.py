@@ -6,12 +6,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.llm import bpe, near_copies, pii, substrings, token_files
+from tersely.llm import bpe, decontaminate, near_copies, pii, substrings, token_files, url_rules
 from tersely.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the rules on the url of every page."""
+    rules = spark.createDataFrame(URL_RULES, url_rules.RULES)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge_urls(pages, rules).drop("url")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words in all documents."""
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13
+    )
+    return decontaminate.judged(found).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +75,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_substrings, op5_token_files, op7_pii, op8_near_copies, op9_bpe)
+    for f in (op1_url_rules, op2_decontaminate, op3_substrings, op5_token_files, op7_pii, op8_near_copies, op9_bpe)
 }
 ORACLES: dict[str, str] = {}

@@ -165,15 +165,15 @@ def judge_urls(
         ),
     )
     judged = (
-        met.select("row_id", "row", "host", F.when(F.col("row").isNotNull(), F.col("path")).alias("path"), ranked.alias("best"))
+        met.withColumn("best", ranked)
         .groupBy("row_id")
         .agg(
             F.first("row", ignorenulls=True).alias("row"),
             F.first("host", ignorenulls=True).alias("host"),
-            F.first("path", ignorenulls=True).alias("path"),
+            F.first("path").alias("path"),
             F.max("best").alias("best"),
         )
-    )
+    )
     return judged.select(
         "row.*",
         "host",

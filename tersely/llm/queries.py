@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.llm import bpe, decontaminate, near_copies, pii, substrings, token_files, url_rules
+from tersely.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    near_copies,
+    pii,
+    substrings,
+    token_files,
+    top_k,
+    url_rules,
+)
 from tersely.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,12 +61,25 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th embedding with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and checksums of all documents, read back from the token files."""
     docs = table(spark, sf_dir, "documents")
     return token_files.token_places(spark, docs, BYTE_VOCABULARY, END_ID)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its speakers sees it; the mask as start:end pairs."""
+    seen = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
+    return seen.withColumn("mask", F.array_join(spans, ","))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     return pii.pii_spans(table(spark, sf_dir, "documents"))
@@ -75,6 +98,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_rules, op2_decontaminate, op3_substrings, op5_token_files, op7_pii, op8_near_copies, op9_bpe)
+    for f in (
+        op1_url_rules,
+        op2_decontaminate,
+        op3_substrings,
+        op4_top_k,
+        op5_token_files,
+        op6_chat,
+        op7_pii,
+        op8_near_copies,
+        op9_bpe,
+    )
 }
 ORACLES: dict[str, str] = {}

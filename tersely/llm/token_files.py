@@ -23,6 +23,7 @@ import itertools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,18 @@ from tersely.plans.inputs import scratch
 
 #: White space as the vocabularies' patterns take it (fixed value).
 WHITE = "\t-\r \x85\xa0  -     　"
-#: A run of other characters with the space before it, or white space up to the last
-#: character before such a run. The byte-level pattern never crosses these borders.
-UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-MEMO_ENTRIES = 400_000
+#: Letters and marks whose class is the same in every version of the patterns.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARKS = r"!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-"
+#: Borders that the byte-level pattern never crosses: a word of letters with the space
+#: before it, up to white space or a mark; a run of marks up to white space or a letter;
+#: else everything up to white space; white space up to the last character before a word.
+UNITS = re.compile(
+    f" ?[{LATIN}]++(?![^{WHITE}{MARKS}])| ?[{MARKS}]++(?![^{WHITE}{LATIN}])"
+    f"| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+)
+MEMO_ENTRIES = 120_000
+SLICE_BYTES = 2_000_000
 
 MANIFEST = StructType(
     [StructField(name, LongType()) for name in ("part", "n_docs", "n_tokens", "base")]
@@ -53,9 +62,9 @@ class ByteEncoder:
     """The tokenizers library over whole texts, unit by unit.
 
     A byte-level vocabulary splits text at its pattern before any merge, so a unit's
-    ids do not depend on its neighbours. Units repeat, and the library is asked once
-    for each; the memo is bounded and only saves time. Texts that hold the string of a
-    special token are given to the library whole.
+    ids do not depend on its neighbours. Units repeat, and a memo of two generations,
+    bounded, spares asking the library again for the frequent ones. Texts that hold
+    the string of a special token are given to the library whole.
     """
 
     def __init__(self, path: str):
@@ -66,20 +75,25 @@ class ByteEncoder:
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         units = [None if self.added and self.added.search(t) else UNITS.findall(t) for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         memo = self.memo
-        new = list({u for found in units if found for u in found} - memo.keys())
-        for first in range(0, len(new), 10_000):
-            some = new[first : first + 10_000]
+        unknown = set().union(*filter(None, units)) - memo.keys()
+        known = unknown & self.older.keys()
+        memo.update((u, self.older[u]) for u in known)
+        new = list(unknown - known)
+        for first in range(0, len(new), 2_000):
+            some = new[first : first + 2_000]
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             for unit, item in zip(some, coded, strict=True):
-                memo[unit] = np.array(item.ids, dtype=self.kind).tobytes()
+                memo[unit] = array(self.code, item.ids).tobytes()
         return [
             b"".join(map(memo.__getitem__, found)) if found is not None else self._whole(text)
             for text, found in zip(texts, units, strict=True)
@@ -123,7 +137,7 @@ def write_token_files(
         end = np.array([end_id], dtype=coder.kind).tobytes()
         lengths, ids, nulls = [], [], []
         with store.open_output_stream(f"{own}.bin") as out:
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", SLICE_BYTES):
                 rows = part.column(0)
                 nulls.append(rows.is_null().to_numpy(zero_copy_only=False))
                 ids.append(rows.fill_null(0).to_numpy(zero_copy_only=False))

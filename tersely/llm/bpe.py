@@ -7,9 +7,8 @@ that occur, and ranks are applied in ascending order, each to its whole list fro
 to right. A merge takes the pair's two neighbours out of reach and puts two new pairs
 into the lists of their own ranks. Stale positions are seen by comparing symbols.
 
-Where a merge makes a pair of lower rank in the same word, the rest of that word's
-positions go back to their list and wait, so every word is merged in the order in
-which it would be alone.
+Where a merge makes a pair of lower rank, the rest of its list goes back and waits, so
+every word is merged in the order in which it would be alone.
 
 Null and empty texts have no ids. Texts of any length are encoded whole; rows are
 independent, so repeated rows and ids give repeated results.
@@ -22,6 +21,7 @@ import heapq
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,22 @@ from tersely.llm.common import slices, texts_of
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space on which words never depend: it is dropped and composes with nothing.
 PLAIN_WHITE = re.compile("[ \t\n\r]+")
-MEMO_ENTRIES = 300_000
+#: Characters whose lower case, composition and class are the same in every Unicode version.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = re.compile(f"[\\t\\n\\r -~{LATIN}]*")
+#: The vocabulary's word pattern over lower-case text of such characters.
+WORD = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[!-/:-@\[-`{{-~]+"
+)
+MEMO_ENTRIES = 120_000
+SLICE_BYTES = 3_000_000
+
+
+def byte_letters() -> list[str]:
+    """The letter of each byte: printable ones stand for themselves, others follow U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
 class PairIndexBpe:
@@ -58,121 +73,120 @@ class PairIndexBpe:
         longest_first = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
         self.special = re.compile(f"({longest_first})") if added else None
         self.size = size
-        #: left * size + right -> (rank, merged id)
-        self.ranks = {}
+        #: left * (size + 1) + right -> rank; left, right and merged id by rank
+        self.ranks: dict[int, int] = {}
+        self.merges = []
         for rank, (left, right) in enumerate(model["merges"]):
-            pair = self.ids[left] * size + self.ids[right]
-            self.ranks.setdefault(pair, (rank, self.ids[left + right]))
-        self.pair_of = {rank: pair for pair, (rank, _) in self.ranks.items()}
+            pair = self.ids[left] * (size + 1) + self.ids[right]
+            self.ranks.setdefault(pair, rank)
+            self.merges.append((self.ids[left], self.ids[right], self.ids[left + right]))
         self.library = Tokenizer.from_file(path)
-        self.chunks: dict[str, np.ndarray] = {}
+        self.letters = byte_letters()
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def words_of(self, text: str) -> list[str]:
+        """A text's words in order, by the vocabulary's own rules.
+
+        Plain words are lower-case text, words of other texts strings of byte letters
+        after a blank, and special tokens strings after two.
+        """
+        if PLAIN.fullmatch(text) and not (self.special and self.special.search(text)):
+            return WORD.findall(text.lower())
+        out = []
+        for part in self.special.split(text) if self.special else [text]:
+            if part in self.added:
+                out.append("  " + part)
+                continue
+            for chunk in filter(None, PLAIN_WHITE.split(part)):
+                plain = self.library.normalizer.normalize_str(chunk)
+                out += [" " + word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        return out
 
-    def words_of(self, chunk: str) -> list[str]:
-        """A chunk's words as strings of byte letters, by the vocabulary's own rules."""
-        plain = self.library.normalizer.normalize_str(chunk)
-        return [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+    def spelled(self, word: str) -> str:
+        """A word of ``words_of`` as byte letters."""
+        if word[0] == " ":
+            return word[1:]
+        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, all words merged together."""
-        symbols, word_of = [], []
-        for n, word in enumerate(words):
+        border, size, ranks = self.size, self.size + 1, self.ranks
+        symbols = [border]  # one border before, between and after the words
+        for word in words:
             letters = [*word[:-1], word[-1] + self.suffix]
-            own = [self.ids[c] for c in letters if c in self.ids]
-            symbols += own
-            word_of += [n] * len(own)
-        n, size, ranks = len(symbols), self.size, self.ranks
+            symbols += [self.ids[c] for c in letters if c in self.ids]
+            symbols.append(border)
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
-        for at in range(n - 1):
-            if word_of[at] == word_of[at + 1]:
-                known = ranks.get(symbols[at] * size + symbols[at + 1])
-                if known:
-                    index.setdefault(known[0], []).append(at)
+        for at, pair in enumerate(zip(symbols, symbols[1:])):
+            known = ranks.get(pair[0] * size + pair[1])
+            if known is not None:
+                index.setdefault(known, []).append(at)
         active = list(index)
         heapq.heapify(active)
-
-        def noted(left: int, right: int) -> int:
-            """Put the pair at ``left`` into its list; its rank, or one above all."""
-            known = ranks.get(symbols[left] * size + symbols[right])
-            if not known:
-                return 1 << 60
-            places = index.get(known[0])
-            if places is None:
-                index[known[0]] = [left]
-                heapq.heappush(active, known[0])
-            else:
-                places.append(left)
-            return known[0]
-
         while active:
             rank = heapq.heappop(active)
             places = index.pop(rank)
             places.sort()
-            pair = self.pair_of[rank]
-            left_id, right_id = divmod(pair, size)
-            new = ranks[pair][1]
-            waiting, later = -1, []
-            for at in places:
-                if word_of[at] == waiting:
-                    later.append(at)
-                    continue
+            left_id, right_id, new = self.merges[rank]
+            for turn, at in enumerate(places):
                 right = after[at]
-                if (
-                    symbols[at] != left_id
-                    or right >= n
-                    or symbols[right] != right_id
-                    or word_of[right] != word_of[at]
-                ):
+                if symbols[at] != left_id or symbols[right] != right_id:
                     continue
+                beyond, back = after[right], before[at]
                 symbols[at], symbols[right] = new, -1
-                beyond = after[at] = after[right]
-                if beyond < n:
-                    before[beyond] = at
-                low = 1 << 60
-                if beyond < n and word_of[beyond] == word_of[at]:
-                    low = noted(at, beyond)
-                back = before[at]
-                if back >= 0 and word_of[back] == word_of[at]:
-                    low = min(low, noted(back, at))
-                if low < rank:
-                    waiting = word_of[at]
-            if later:
-                if rank in index:
-                    index[rank] += later
-                else:
-                    index[rank] = later
-                    heapq.heappush(active, rank)
-        out: list[list[int]] = [[] for _ in words]
-        for symbol, word in zip(symbols, word_of, strict=True):
-            if symbol >= 0:
-                out[word].append(symbol)
+                after[at], before[beyond] = beyond, at
+                lowest = rank
+                for place, pair in (
+                    (at, new * size + symbols[beyond]),
+                    (back, symbols[back] * size + new),
+                ):
+                    known = ranks.get(pair)
+                    if known is not None:
+                        lowest = min(lowest, known)
+                        if known in index:
+                            index[known].append(place)
+                        else:
+                            index[known] = [place]
+                            heapq.heappush(active, known)
+                if lowest < rank:  # the rest of the list waits for the lower rank
+                    later = places[turn + 1 :]
+                    if later and rank in index:
+                        index[rank] += later
+                    elif later:
+                        index[rank] = later
+                        heapq.heappush(active, rank)
+                    break
+        out: list[list[int]] = []
+        own: list[int] = []
+        for symbol in symbols[1:]:
+            if symbol == border:
+                out.append(own)
+                own = []
+            elif symbol >= 0:
+                own.append(symbol)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.chunks) > MEMO_ENTRIES:
-            self.chunks.clear()
-        split = [[c for c in PLAIN_WHITE.split(text) if c] for text in texts]
-        new = list({c for found in split for c in found} - self.chunks.keys())
-        pieces = [self.special.split(c) if self.special else [c] for c in new]
-        made = [
-            [[p] if p in self.added else self.words_of(p) for p in found if p] for found in pieces
-        ]
-        words = list({w for found in made for some in found for w in some} - self.added.keys())
-        ids = dict(zip(words, self.merged(words), strict=True))
-        for chunk, found in zip(new, made, strict=True):
-            own = [
-                n
-                for some in found
-                for w in some
-                for n in ([self.added[w]] if w in self.added else ids[w])
-            ]
-            self.chunks[chunk] = np.array(own, dtype=np.uint32)
-        none = np.zeros(0, np.uint32)
-        return [
-            np.concatenate([none, *map(self.chunks.__getitem__, found)]) if found else none
-            for found in split
-        ]
+        """The ids of each text. A bounded memo of two generations keeps frequent words."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, {}
+        memo = self.memo
+        split = [self.words_of(text) for text in texts]
+        unknown = set().union(*split) - memo.keys()
+        known = unknown & self.older.keys()
+        memo.update((word, self.older[word]) for word in known)
+        new = []
+        for word in unknown - known:
+            if word[:2] == "  ":
+                memo[word] = np.array([self.added[word[2:]]], "<u4").tobytes()
+            else:
+                new.append(word)
+        for word, ids in zip(new, self.merged([self.spelled(w) for w in new]), strict=True):
+            memo[word] = array("I", ids).tobytes()
+        return [np.frombuffer(b"".join(map(memo.__getitem__, found)), "<u4") for found in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens joined by spaces: these vocabularies name no decoder."""
@@ -196,7 +210,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text") -
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE_BYTES):
             found = bpe.encode(texts_of(part, text_col))
             ids = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
             decoded = pa.array([bpe.decode(x) for x in found], pa.string())
@@ -214,7 +228,7 @@ def bpe_digests(
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             found = bpe.encode(texts_of(part, "text"))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tersely.plans.inputs import scratch
 from tersely.session import checkpoint_dir
 
 SLICE_BYTES = 6_000_000
@@ -34,6 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the cluster's shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key(column: str = "text"):
     """Hash of a text that, with the id, names a row; a null text counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
@@ -141,6 +149,13 @@ def rolling(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mixed(out)
 
 
+def breaks(values: np.ndarray) -> np.ndarray:
+    """True at the first value and wherever a value differs from the one before."""
+    out = np.ones(len(values), dtype=bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, one after the other."""
     total = int(lengths.sum())

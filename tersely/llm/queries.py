@@ -12,6 +12,7 @@ from tersely.llm import (
     decontaminate,
     near_copies,
     pii,
+    quality,
     substrings,
     token_files,
     top_k,
@@ -96,6 +97,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document under the models of trusted text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality.quality(docs, labels)
+    return judged.select(
+        "doc_id",
+        "lang",
+        "n_chars",
+        F.round("score", 6).alias("score"),
+        F.round("threshold", 6).alias("threshold"),
+        "kept",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +123,7 @@ QUERIES = {
         op7_pii,
         op8_near_copies,
         op9_bpe,
+        op10_quality,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -34,7 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import bucket_count, hashed_words, ragged, rolling, slices, texts_of
+from tersely.llm.common import (
+    breaks,
+    bucket_count,
+    hashed_words,
+    ragged,
+    rolling,
+    slices,
+    texts_of,
+)
 
 SEED = 4
 BLOCK_BYTES = 8_000_000
@@ -124,13 +132,6 @@ def segments(
         yield int(goes[g]), 0, head + spans[g : g + size].tobytes() + body
 
 
-def breaks(values: np.ndarray) -> np.ndarray:
-    """True at the first value and wherever a value differs from the one before."""
-    out = np.ones(len(values), dtype=bool)
-    out[1:] = values[1:] != values[:-1]
-    return out
-
-
 def spans_at(docs, keys, owner, place, at, n) -> np.ndarray:
     out = np.zeros(len(at), dtype=SPAN)
     out["doc"], out["key"] = docs[owner[at]], keys[owner[at]]

@@ -3,16 +3,17 @@
 The benchmark's words are looked up in the corpus in two passes over it. The first
 counts every benchmark word. In each window of a benchmark item the rarest word is the
 anchor; neighbouring windows mostly share one. The second pass is the index proper: it
-stores the postings (document, position) of the anchors alone, with the document's
-words there, shifts each posting by the anchor's offset in its item, and intersects it
-with the other words' positions, so that every window that a document holds is found
-exactly once. A window with a word that the corpus lacks is dropped at once.
+stores the postings (document, position, the words within reach) of the anchors alone,
+shifts each posting by the anchor's offset in its item, and intersects it with the
+other words' positions, so that every window that a document holds is found exactly
+once. A window with a word that the corpus lacks is dropped at once.
 
 ``proximity`` gives the matches where only a share of the words of an alignment agree.
 
 All steps are DataFrame functions. Postings meet anchors by a broadcast join while the
 benchmark has at most ``MAX_BROADCAST_WORDS`` words, counted beforehand; beyond that by
-a shuffled join. Nothing but that count comes to the driver.
+a shuffled join. That count and the anchors, as many as benchmark words at most, come to
+the driver; more than ``MAX_TERMS`` anchors are looked up in several passes.
 
 Words are runs of digits, letters and characters from U+0080, with A-Z lowered. Null
 and empty texts have no words and no hits. Rows with equal id and text give equal
@@ -22,10 +23,12 @@ id hit, but are not listed. An empty benchmark contaminates nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersely.llm.common import text_key
+from tersely.llm.common import text_key, written
 from tersely.llm.url_rules import lower_ascii
 
 #: What is not in a word; the contract's class, with A-Z still to be lowered (fixed value).
@@ -33,6 +36,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands behind a document's last word; no word can hold it.
 END = "\u0000"
 MAX_BROADCAST_WORDS = 1_000_000
+#: Anchors looked up in one pass over the corpus; longer benchmarks take several.
+MAX_TERMS = 100_000
 
 
 def parts_of(text: Column) -> Column:
@@ -131,49 +136,81 @@ def matches(
     """
     words = item_words(benchmark, item_id_col, item_text_col)
     size = words.count()
+    spark = docs.sparkSession
     parts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         text_key(text_col).alias("doc_key"),
         parts_of(F.col(text_col)).alias("parts"),
     )
-    tokens = parts.select(F.explode_outer("parts").alias("word"))
     counts = (
-        tokens.select(index_term(F.col("word")).alias("term"))
+        parts.select(F.explode_outer("parts").alias("word"))
+        .select(index_term(F.col("word")).alias("term"))
         .join(bounded(words.select("term").distinct(), size), "term")
         .groupBy("term")
         .agg(F.count("*").alias("n"))
     )
-    wanted = anchors(words, counts, window)
-    header = wanted.sparkSession.range(1).select(
-        F.lit(END).alias("term"),
-        *(F.lit(None).cast(kind).alias(name) for name, kind in wanted.dtypes if name != "term"),
+    wanted = written(anchors(words, counts, window), "anchors")
+    terms = sorted(row.term for row in wanted.select("term").distinct().collect())
+    passes = [terms[at : at + MAX_TERMS] for at in range(0, len(terms), MAX_TERMS)] or [[]]
+    found = reduce(
+        DataFrame.unionByName,
+        [postings(parts, some, window, header=n == 0) for n, some in enumerate(passes)],
     )
-    postings = parts.select(
-        "doc_id",
-        "doc_key",
-        "parts",
-        F.posexplode_outer(F.concat("parts", F.array(F.lit(END)))).alias("at", "word"),
-    ).withColumn("term", index_term(F.col("word")))
-    found = postings.join(bounded(wanted.unionByName(header), size), "term")
-    start = F.col("at") - F.col("back")
+    nothing = {name: F.lit(None).cast(kind).alias(name) for name, kind in wanted.dtypes}
+    header = spark.range(1).select(*(nothing | {"term": F.lit(END).alias("term")}).values())
+    place = F.col("at") - F.col("back") - F.col("begin")  # of the phrase in the context
     agree = F.transform(
         "phrase",
-        lambda word, i: F.coalesce(
-            lower_ascii(F.get(F.col("parts"), F.col("at") - F.col("back") + i)) == word, F.lit(False)
-        ),
+        lambda word, i: F.coalesce(lower_ascii(F.get("context", place + i)) == word, F.lit(False)),
     )
-    lead = (F.get("parts", F.lit(0)) == "").cast("int")
-    return found.select(
+    return found.join(bounded(wanted.unionByName(header), size), "term").select(
         "doc_id",
         "doc_key",
-        F.when(F.col("term") == END, n_words(F.col("parts"))).alias("n_words"),
+        F.when(F.col("term") == END, F.col("n_words")).alias("n_words"),
         "item_id",
-        (start - lead).alias("start"),
+        (F.col("at") - F.col("back") - F.col("lead")).alias("start"),
         agree.alias("agree"),
         "window",
     )
 
 
+def postings(parts: DataFrame, terms: list[str], window: int, header: bool) -> DataFrame:
+    """doc_id, doc_key, n_words, lead, term, at, begin, context: where the terms stand.
+
+    ``context`` holds the parts around place ``at`` that a window there can reach, from
+    part ``begin``. With ``header`` each document also gives one posting of ``END``.
+    """
+    listed = ", ".join(f"'{term}'" for term in [*terms, END])  # words hold no quotes
+    places = F.expr(
+        "filter(sequence(0, size(parts) - 1), "
+        f"i -> lower(get(parts, i)) IN ({listed}))"
+    )
+    begin = lambda at: F.greatest(at - (window - 1), F.lit(0))
+    stood = F.transform(
+        places,
+        lambda at: F.struct(
+            F.lower(F.get("parts", at)).alias("term"),
+            at.alias("at"),
+            begin(at).alias("begin"),
+            F.slice("parts", begin(at) + 1, at + window - begin(at)).alias("context"),
+        ),
+    )
+    first = F.struct(
+        F.lit(END).alias("term"),
+        F.lit(None).cast("int").alias("at"),
+        F.lit(None).cast("int").alias("begin"),
+        F.lit(None).cast("array<string>").alias("context"),
+    )
+    rows = F.concat(F.array(first), stood) if header else stood
+    return parts.select(
+        "doc_id",
+        "doc_key",
+        n_words(F.col("parts")).alias("n_words"),
+        (F.get("parts", F.lit(0)) == "").cast("int").alias("lead"),
+        F.explode_outer(rows).alias("posting"),
+    ).select("doc_id", "doc_key", "n_words", "lead", "posting.*")
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,

@@ -27,7 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import U64, checkpointed, hashed_words, mixed, rolling, slices, texts_of
+from tersely.llm.common import (
+    U64,
+    checkpointed,
+    hashed_words,
+    mixed,
+    rolling,
+    slices,
+    text_key,
+    texts_of,
+)
 from tersely.llm.components import components
 
 VALUES, ROWS = 128, 4
@@ -35,7 +44,7 @@ PERMUTATIONS = VALUES // 2
 _seeds = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 TIMES, PLUS = _seeds[:PERMUTATIONS] | U64(1), _seeds[PERMUTATIONS:]
 
-FEATURES = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
+FEATURES = "doc_id long, doc_key long, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
 def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +99,12 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array(sizes, pa.int64()),
                     *(pa.array(d.view(np.int64), mask=none) for d in digests),
                     bands,
                 ],
-                names=["doc_id", "n_shingles", "set1", "set2", "bands"],
+                names=["doc_id", "doc_key", "n_shingles", "set1", "set2", "bands"],
             )
 
     return docs.mapInArrow(make, FEATURES)
@@ -147,12 +157,16 @@ def near_copies(
     shingle: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
+    """Per row of ``docs``: doc_id, doc_key, n_shingles, component_id and kept.
 
     Texts are linked if their shingle sets share ``percent`` of their union;
     ``component_id`` is the smallest id reachable and ``kept`` marks that document.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        text_key(text_col).alias("doc_key"),
+        F.col(text_col).alias("text"),
+    )
     made = checkpointed(features(narrow, shingle))
     filled = made.where("n_shingles > 0")
     classes = (
@@ -169,7 +183,7 @@ def near_copies(
     )
     shared = checkpointed(members.join(hubs, "band"))
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
-    sets = checkpointed(packed_sets(narrow.join(wanted, "doc_id", "left_semi"), shingle))
+    sets = checkpointed(packed_sets(narrow.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle))
 
     first = (
         shared.where("class_id != hub")
@@ -216,6 +230,7 @@ def near_copies(
     component = F.coalesce("component", "doc_id")
     return made.join(of_class, ["set1", "set2"], "left").select(
         "doc_id",
+        "doc_key",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"),

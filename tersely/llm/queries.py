@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies among all documents, by shingles of four words."""
     docs = table(spark, sf_dir, "documents")
-    return near_copies.near_copies(docs, shingle=4, percent=80)
+    return near_copies.near_copies(docs, shingle=4, percent=80).drop("doc_key")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,4 +127,7 @@ QUERIES = {
         op10_quality,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

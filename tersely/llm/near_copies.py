@@ -6,10 +6,12 @@ values are bucket keys; a pair at the limit of similarity 0.8 misses every band
 probability (1 - 0.8 ** ROWS) ** (VALUES / ROWS), below 1e-7.
 
 Texts with equal shingle sets form a class and one document stands for it. Buckets are
-never expanded into pairs. First every class is compared with one hub: the smallest
-document of the buckets it shares most. The links found give components, and after that
-only classes of one bucket that are still in different components are compared. A link
-inside a component changes nothing, so none is lost. Comparisons are of full sets.
+not expanded into pairs. In every round each class is compared with a few hubs of the
+buckets it is in, and the links found give components; rounds go on while they find
+links. After that, all classes of one bucket that are still in different components are
+compared by sketches of a byte for each value, in blocks of the bucket; pairs that could
+be links come out. A link inside a component changes nothing, so none is lost. Links
+are confirmed on full sets.
 
 Words are runs other than space and U+0009 to U+000D with A-Z lowered. Texts of fewer
 words than a shingle are one shingle; null texts and texts without words have none and
@@ -24,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tersely.llm.common import (
     U64,
+    breaks,
     checkpointed,
     hashed_words,
     mixed,
+    ragged,
     rolling,
     slices,
     text_key,
@@ -40,11 +44,17 @@ from tersely.llm.common import (
 from tersely.llm.components import components
 
 VALUES, ROWS = 128, 4
+HUBS, ROUNDS, FEW = 3, 8, 0.02
+#: Sketches of a pair at similarity 0.8 agree in 102 bytes on average, in fewer than 76
+#: with a probability below 1e-8.
+LEAST, BLOCK, PAIRS = 76, 1024, 200_000
 PERMUTATIONS = VALUES // 2
 _seeds = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 TIMES, PLUS = _seeds[:PERMUTATIONS] | U64(1), _seeds[PERMUTATIONS:]
 
-FEATURES = "doc_id long, doc_key long, n_shingles long, set1 long, set2 long, bands array<long>"
+FEATURES = (
+    "doc_id long, doc_key long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
+)
 
 
 def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +72,22 @@ def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([full[:0], *sets]), np.append(0, np.cumsum([len(s) for s in sets]))
 
 
-def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A row of band keys for each set that begins at ``starts``; no set is empty."""
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of ``VALUES`` values for each set that begins at ``starts``; no set is empty."""
     values = np.empty((VALUES, len(starts)), dtype=U64)
     for k in range(PERMUTATIONS):
         hashed = shingles * TIMES[k] + PLUS[k]
         values[2 * k] = np.minimum.reduceat(hashed, starts)
         values[2 * k + 1] = np.maximum.reduceat(hashed, starts)
-    keys = np.empty((len(starts), VALUES // ROWS), dtype=U64)
+    return mixed(values.T.copy())
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    keys = np.empty((len(values), VALUES // ROWS), dtype=U64)
     for band in range(VALUES // ROWS):
-        key = np.full(len(starts), U64(band + 1))
-        for row in values[band * ROWS : (band + 1) * ROWS]:
-            key = mixed(key * U64(0x9FB21C651E98DF25) + row)
+        key = np.full(len(values), U64(band + 1))
+        for row in range(band * ROWS, (band + 1) * ROWS):
+            key = mixed(key * U64(0x9FB21C651E98DF25) + values[:, row])
         keys[:, band] = key
     return keys
 
@@ -89,10 +103,13 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
             starts = bounds[some]
             digests = np.zeros((2, len(sizes)), dtype=U64)
             keys = np.zeros((0, VALUES // ROWS), dtype=U64)
+            sketches = np.full(len(sizes), None)
             if len(some):
                 digests[0, some] = np.add.reduceat(mixed(shingles), starts)
                 digests[1, some] = np.add.reduceat(mixed(shingles ^ U64(0x5851F42D4C957F2D)), starts)
-                keys = band_keys(shingles, starts)
+                values = signatures(shingles, starts)
+                keys = band_keys(values)
+                sketches[some] = [row.tobytes() for row in values.astype(np.uint8)]
             none = sizes == 0
             ends = np.append(0, np.cumsum(np.where(none, 0, VALUES // ROWS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
@@ -103,8 +120,9 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     *(pa.array(d.view(np.int64), mask=none) for d in digests),
                     bands,
+                    pa.array(sketches, pa.binary()),
                 ],
-                names=["doc_id", "doc_key", "n_shingles", "set1", "set2", "bands"],
+                names=["doc_id", "doc_key", "n_shingles", "set1", "set2", "bands", "sketch"],
             )
 
     return docs.mapInArrow(make, FEATURES)
@@ -150,6 +168,184 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
+def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """band, class_id, n_shingles and label of the members of shared buckets."""
+    if labels is None:
+        return shared.withColumn("label", F.col("class_id"))
+    return shared.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+        "band", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label")
+    )
+
+
+def alike(x: str, y: str, percent: int):
+    """Set sizes that allow a link."""
+    return F.expr(
+        f"{x}.n_shingles * 100 >= {y}.n_shingles * {percent} "
+        f"AND {y}.n_shingles * 100 >= {x}.n_shingles * {percent}"
+    )
+
+
+def hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs a < b of each class with the hubs, of other labels, that it meets most often.
+
+    A bucket's hub is its smallest member in the first round, then one drawn by hash.
+    """
+    rank = F.col("class_id") if turn == 0 else F.xxhash64("class_id", F.lit(turn))
+    hubs = (
+        members.groupBy("band")
+        .agg(
+            F.min(F.struct(rank.alias("rank"), "class_id", "label", "n_shingles")).alias("hub"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+        )
+        .where("low < high")
+        .select("band", "hub")
+    )
+    met = (
+        members.alias("own").join(hubs, "band")
+        .where((F.col("own.label") != F.col("hub.label")) & alike("own", "hub", percent))
+        .groupBy("class_id", F.col("hub.class_id").alias("hub"))
+        .count()
+    )
+    often = Window.partitionBy("class_id").orderBy(F.desc("count"), "hub")
+    return (
+        met.withColumn("at", F.row_number().over(often))
+        .where(F.col("at") <= HUBS)
+        .select(F.least("class_id", "hub").alias("a"), F.greatest("class_id", "hub").alias("b"))
+        .distinct()
+    )
+
+
+def apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs a < b that share a bucket but no label, and of which ``LEAST`` sketch bytes agree.
+
+    Buckets are cut into blocks of about ``BLOCK`` members, and two blocks are compared
+    inside a task. Pairs that pass come out packed, by the cell of their homes: classes
+    with the same smallest neighbour share homes of about ``BLOCK`` classes.
+    """
+    several = (
+        members.groupBy("band")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+        .where("low < high")
+        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = (
+        members.join(several, "band")
+        .select("band", "class_id", "label", block.alias("block"), F.explode(others).alias("other"))
+        .select(
+            F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+            (F.col("block") > F.col("other")).alias("second"),
+            (F.col("block") == F.col("other")).alias("alone"),
+            "class_id",
+            "label",
+        )
+    )
+    spark = members.sparkSession
+    groups = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("cell").to_numpy(), kind="stable")
+        cell, ids, labels, blocks = (
+            group.column(c).to_numpy()[order] for c in ("cell", "class_id", "label", "home")
+        )
+        second, alone = (group.column(c).to_numpy()[order] for c in ("second", "alone"))
+        blobs = group.column("sketch").combine_chunks().take(pa.array(order))
+        data = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(len(ids), VALUES)
+        starts = np.flatnonzero(breaks(cell))
+        ends = np.append(starts[1:], len(cell))
+        last = np.repeat(ends, ends - starts)
+        found: list[np.ndarray] = []
+        here = np.arange(len(ids))
+        after = last - here - 1  # rows of the cell that stand behind each row
+        cuts = np.searchsorted(np.cumsum(after), np.arange(0, after.sum() + PAIRS, PAIRS))
+        for first, stop in zip(cuts[:-1], np.minimum(cuts[1:], len(ids) - 1) + 1, strict=True):
+            rows = here[first:stop]
+            x = np.repeat(rows, after[rows])
+            y = ragged(rows + 1, after[rows])
+            met = (labels[x] != labels[y]) & (alone[x] | (second[x] != second[y]))
+            x, y = x[met], y[met]
+            for at in range(0, len(x), PAIRS):
+                p, q = x[at : at + PAIRS], y[at : at + PAIRS]
+                near = (data[p] == data[q]).sum(axis=1) >= LEAST
+                p, q = p[near], q[near]
+                p, q = np.where(ids[p] < ids[q], p, q), np.where(ids[p] < ids[q], q, p)
+                low, high = np.minimum(blocks[p], blocks[q]), np.maximum(blocks[p], blocks[q])
+                home = mixed(low.view(U64) * U64(0x9E3779B97F4A7C15) + high.view(U64)).view(np.int64)
+                found.append(np.stack([home, ids[p], ids[q]]))
+        pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+        pairs = np.unique(pairs, axis=1)
+        cuts = np.flatnonzero(breaks(pairs[0]))
+        homes = pairs[0, cuts]
+        blobs = [part.tobytes() for part in np.split(pairs[1:].T, cuts[1:])] if len(cuts) else []
+        return pa.table({"cell": pa.array(homes), "pairs": pa.array(blobs, pa.binary())})
+
+    return (
+        placed.join(sketches, "class_id")
+        .withColumn("group", F.pmod("cell", F.lit(groups)))
+        .groupBy("group")
+        .applyInArrow(compare, "cell long, pairs binary")
+    )
+
+
+def homes(shared: DataFrame) -> DataFrame:
+    """class_id and its home: a block of the classes that have the same smallest neighbour."""
+    nearest = shared.groupBy("class_id").agg(F.min("low").alias("nearest"))
+    blocks = nearest.groupBy("nearest").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
+    return nearest.join(blocks, "nearest").select(
+        "class_id", F.xxhash64("nearest", block).alias("home")
+    )
+
+
+def confirmed_in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among the packed pairs of ``apart``; a cell gets each of its sets once."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.unique(np.frombuffer(row["pairs"], np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), row["cell"])), pa.array(ids)], names=["cell", "doc_id"]
+                )
+
+    def check(pairs: pa.Table, own: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}
+        for doc, blob in zip(
+            own.column("doc_id").to_pylist(), own.column("shingles").to_pylist(), strict=True
+        ):
+            of.setdefault(doc, []).append(np.frombuffer(blob, U64))
+        blobs = [np.frombuffer(blob, np.int64).reshape(-1, 2) for blob in pairs.column("pairs").to_pylist()]
+        rows = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *blobs]), axis=0)
+        starts = np.flatnonzero(breaks(rows[:, 0]))
+        links = []
+        for group in np.split(rows, starts[1:]) if len(rows) else []:
+            a = int(group[0, 0])
+            partners = [(int(b), s) for b in group[:, 1] for s in of.get(int(b), ()) if len(s)]
+            sizes = np.array([len(s) for _, s in partners])
+            for own_set in of.get(a, ()):
+                if not len(partners) or not len(own_set):
+                    continue
+                every = np.concatenate([s for _, s in partners])
+                at = np.minimum(np.searchsorted(own_set, every), len(own_set) - 1)
+                both = np.add.reduceat((own_set[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                near = 100 * both >= percent * (len(own_set) + sizes - both)
+                links += [(a, partners[k][0]) for k in np.flatnonzero(near)]
+        return pa.table(
+            {
+                "a": pa.array([a for a, _ in links], pa.int64()),
+                "b": pa.array([b for _, b in links], pa.int64()),
+            }
+        )
+
+    wanted = cells.mapInArrow(members, "cell long, doc_id long").distinct()
+    needed = wanted.join(sets, "doc_id")
+    return (
+        cells.groupBy("cell").cogroup(needed.groupBy("cell")).applyInArrow(check, "a long, b long")
+    )
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -171,58 +367,32 @@ def near_copies(
     filled = made.where("n_shingles > 0")
     classes = (
         filled.groupBy("set1", "set2", "n_shingles")
-        .agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .where("class_id IS NOT NULL")
     )
     members = classes.select("class_id", "n_shingles", F.explode("bands").alias("band"))
-    hubs = (
+    several = (
         members.groupBy("band")
-        .agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last"))
-        .where("hub < last")
-        .select("band", "hub")
+        .agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        .where("low < high")
     )
-    shared = checkpointed(members.join(hubs, "band"))
+    shared = checkpointed(members.join(several.select("band", "low"), "band"))
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
     sets = checkpointed(packed_sets(narrow.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle))
 
-    first = (
-        shared.where("class_id != hub")
-        .groupBy("class_id", "hub")
-        .count()
-        .groupBy("class_id")
-        .agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a"))
-        .select("a", F.col("class_id").alias("b"))
-    )
-    links = checkpointed(confirmed(first, sets, percent))
-    labels = components(links)
-    labelled = shared.join(labels, F.col("class_id") == F.col("node"), "left").select(
-        "band", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label")
-    )
-    mixed_bands = (
-        labelled.groupBy("band")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high")
-        .select("band")
-    )
-    apart = checkpointed(labelled.join(mixed_bands, "band", "left_semi"))
-    x, y = apart.alias("x"), apart.alias("y")
-    open_pairs = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.label") < F.col("y.label"))
-            & (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * percent)
-            & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * percent),
-        )
-        .select(
-            F.least("x.class_id", "y.class_id").alias("a"),
-            F.greatest("x.class_id", "y.class_id").alias("b"),
-        )
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    rest = confirmed(open_pairs, sets, percent)
-    labels = components(links.union(rest))
+    labels, links = None, None
+    for turn in range(ROUNDS):
+        asked = checkpointed(hub_pairs(labelled(shared, labels), turn, percent))
+        found = checkpointed(confirmed(asked, sets, percent))
+        links = found if links is None else links.union(found)
+        n_asked, n_found = asked.count(), found.count()
+        if n_found:
+            labels = components(links)
+        if n_found <= n_asked * FEW:
+            break
+    sketches = classes.select("class_id", "sketch").join(homes(shared), "class_id")
+    cells = checkpointed(apart(labelled(shared, labels), sketches))
+    labels = components(links.union(confirmed_in_cells(cells, sets, percent)))
     of_class = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
         "set1", "set2", F.coalesce("label", "class_id").alias("component")
     )

@@ -100,6 +100,11 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _bare(address: str) -> list[str]:
+    """The parts of a dotted address without leading zeros."""
+    return [part.lstrip("0") for part in address.split(".")]
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
@@ -125,7 +130,7 @@ def find_spans(text: str) -> list[Span]:
                     free["card"] = at + 1
             if at >= free["ip"] and at >= free["ip-run"]:
                 if match := QUAD.match(text, at):
-                    small = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match[0].split("."))
+                    small = all(len(p) <= 3 and int(p or 0) <= 255 for p in _bare(match[0]))
                     take("ip", at, match.end(), small)
                 else:  # no other digit of this run begins one either
                     end = at + 1

@@ -76,15 +76,17 @@ def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def anchors(words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+def anchors(words: DataFrame, counts: DataFrame, window: int, absent: bool = False) -> DataFrame:
     """Per item and anchor: term, back (words of ``phrase`` before it), phrase, size of a window.
 
-    ``phrase`` spans all windows whose rarest word is this one.
+    ``phrase`` spans all windows whose rarest word is this one. Windows with words that
+    the corpus lacks have no anchor, or, if ``absent``, the rarest of the others.
     """
     counted = words.join(counts, "term", "left").na.fill(0, ["n"])
     item = Window.partitionBy("item_id", "item_key")
     ahead = item.orderBy("at").rowsBetween(0, window - 1)
-    rarest = F.min(F.struct("n", "at")).over(ahead)
+    found = F.when(F.col("n") > 0, F.struct("n", "at")) if absent else F.struct("n", "at")
+    rarest = F.min(found).over(ahead)
     last_start = F.greatest(F.lit(0), F.count("*").over(item) - window)
     chosen = counted.select(
         "item_id",
@@ -127,6 +129,7 @@ def matches(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
+    absent: bool = False,
 ) -> DataFrame:
     """Aligned phrases: doc_id, doc_key, n_words, item_id, start, agree, window.
 
@@ -149,7 +152,7 @@ def matches(
         .groupBy("term")
         .agg(F.count("*").alias("n"))
     )
-    wanted = written(anchors(words, counts, window), "anchors")
+    wanted = written(anchors(words, counts, window, absent), "anchors")
     terms = sorted(row.term for row in wanted.select("term").distinct().collect())
     passes = [terms[at : at + MAX_TERMS] for at in range(0, len(terms), MAX_TERMS)] or [[]]
     found = reduce(
@@ -267,7 +270,7 @@ def proximity(
     They are found where the document holds an anchor of the item. One row for each
     document, item and start.
     """
-    aligned = matches(docs, benchmark, window=window, **columns).where("agree IS NOT NULL")
+    aligned = matches(docs, benchmark, window=window, absent=True, **columns).where("agree IS NOT NULL")
     share = F.size(F.filter("agree", lambda a: a)) / F.size("agree")
     return (
         aligned.select("doc_id", "doc_key", "item_id", "start", share.alias("share"))

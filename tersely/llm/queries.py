@@ -20,6 +20,7 @@ from tersely.llm import (
     url_rules,
 )
 from tersely.llm.common import table
+from tersely.llm.oracles import ORACLES
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -128,6 +129,5 @@ QUERIES = {
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

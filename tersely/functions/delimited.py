@@ -6,15 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
-from tersely.functions.text import filled_lines, let
+from tersely.functions.text import WHITE_SPACE, filled_lines, let
 
-# --- fixed values -----------------------------------------------------------
-MAX_CELL = 131072
-# ----------------------------------------------------------------------------
 _EOL = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
-FIRST_LINES = rf"(?U)^[\s\x1C-\x1F]*[^{_EOL}]*[,\t][^{_EOL}]*[{_EOL}][\s\x1C-\x1F]*[^{_EOL}]*[,\t]"
-
-TWO_LINES = rf"(?U)^[\s\x1C-\x1F]*([^{_EOL}]*)[{_EOL}][\s\x1C-\x1F]*([^{_EOL}]*)"
+LINE = rf"^[^{_EOL}]*+"
 
 
 def _field(delimiter: str) -> str:
@@ -68,16 +63,23 @@ def parse_rows(text: Column) -> Column:
     def checked(rows: Column) -> Column:
         width = F.size(F.get(rows, F.lit(0)))
         even = F.forall(rows, lambda r: F.size(r) == width)
-        small = F.forall(rows, lambda r: F.forall(r, lambda c: F.length(c) <= MAX_CELL))
-        return F.when(even & small, rows)
-
-    # Without quotes and tabs a first pair of lines with unequal commas settles it.
-    commas = lambda group: F.length(
-        F.regexp_replace(F.regexp_extract(text, TWO_LINES, group), "[^,]", "")
-    )
-    simple = ~F.contains(text, F.lit('"')) & ~F.contains(text, F.lit("\t"))
-    uneven = F.when(simple, commas(1) != commas(2)).otherwise(F.lit(False))
-    return F.when(text.rlike(FIRST_LINES) & ~uneven, let(filled_lines(text), with_lines))
+        return F.when(even, rows)
+
+    def with_first(head: Column) -> Column:
+        """``head``: the text from its first filled line on."""
+        first = F.regexp_extract(head, LINE, 0)
+        rest = F.substr(head, F.length(first) + 1)
+        second = F.regexp_extract(F.ltrim(rest, F.lit(WHITE_SPACE)), LINE, 0)
+        # Leading tabs belong to the lines; any tab leaves the question open.
+        tab = F.contains(text, F.lit("\t"))
+        may = (F.contains(first, F.lit(",")) & F.contains(second, F.lit(","))) | tab
+        # Without quotes and tabs a first pair of lines with unequal commas settles it.
+        commas = lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+        uneven = ~tab & ~F.contains(text, F.lit('"')) & (commas(first) != commas(second))
+        return F.when(may & (second != "") & ~uneven, let(filled_lines(text), with_lines))
+
+    marked = F.contains(text, F.lit(",")) | F.contains(text, F.lit("\t"))
+    return F.when(marked, let(F.ltrim(text, F.lit(WHITE_SPACE)), with_first))
 
 
 def list_block(rows: Column) -> Column:

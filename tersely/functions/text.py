@@ -16,10 +16,12 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+OTHER_LINE_END = r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 ENV_ASSIGNMENT = (
     r"(?U)(\b(?:export\s+)?)([A-Z][A-Z0-9_]{1,63})\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+)"
 )
 CHARS_PER_TOKEN = 4
+NOT_BLANK = f"[^{WHITE_SPACE}]"
 # ----------------------------------------------------------------------------
 
 
@@ -42,10 +44,17 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITE_SPACE))
 
 
+def _parts(text: Column) -> Column:
+    """Text between line ends; a plain split where newlines are the only ones."""
+    return F.when(text.rlike(OTHER_LINE_END), F.split(text, LINE_END, -1)).otherwise(
+        F.split(text, "\n", -1)
+    )
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line end opens no further line."""
     return let(
-        F.split(text, LINE_END, -1),
+        _parts(text),
         lambda parts: F.when(
             F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
         ).otherwise(parts),
@@ -54,7 +63,7 @@ def split_lines(text: Column) -> Column:
 
 def filled_lines(text: Column) -> Column:
     """Lines that hold more than white space."""
-    return F.filter(F.split(text, LINE_END, -1), lambda line: strip(line) != "")
+    return F.filter(_parts(text), lambda line: line.rlike(NOT_BLANK))
 
 
 def estimate_tokens(text: Column) -> Column:

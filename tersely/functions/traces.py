@@ -11,7 +11,8 @@ from tersely.functions.text import filled_lines, let, rstrip, split_lines
 # --- fixed values -----------------------------------------------------------
 FRAME = r"(?U)^[\s\x1C-\x1F]*(?:File \"|at |frame #)|\.go:"
 TRACE_WORD = "Traceback"
-TRACE_PATTERN = r"(?U)\bat [^\n]*:\d+"
+AFTER_AT = r"(?U)\bat [^\n]*+"
+PLACE = r"(?U):\d"
 SCORED_FRAME = r"(?U)^[\s\x1C-\x1F]*(?:File |at )"
 HEAD = 3
 TAIL = 3
@@ -32,9 +33,13 @@ def frame_count(text: Column) -> Column:
 
 def is_trace(text: Column) -> Column:
     """Names a traceback or an ``at place:line``, over two or more lines."""
-    # Plain substring tests come first: most texts fail them without a regex.
+    # Plain substring tests come first: most texts fail them without a regex. What
+    # follows a line's first "at " is looked at once, so long lines cost no more.
+    placed = F.exists(
+        F.regexp_extract_all(text, F.lit(AFTER_AT), F.lit(0)), lambda rest: rest.rlike(PLACE)
+    )
     named = F.contains(text, F.lit(TRACE_WORD)) | (
-        F.contains(text, F.lit("at ")) & F.contains(text, F.lit(":")) & text.rlike(TRACE_PATTERN)
+        F.contains(text, F.lit("at ")) & F.contains(text, F.lit(":")) & placed
     )
     return F.when(named, F.size(filled_lines(text)) >= 2).otherwise(F.lit(False))
 

@@ -21,15 +21,25 @@ FALSE_WORDS = ("no", "No", "NO", "false", "False", "FALSE", "off", "Off", "OFF")
 NULL_WORDS = ("", "~", "null", "Null", "NULL")
 # ----------------------------------------------------------------------------
 _KEY = r"[\p{L}_][\p{L}\p{N}_./-]*+(?: [\p{L}\p{N}_./-]++)*+"
-_DECIMAL = r"-?(?:0\.0|0\.0{0,3}[1-9][0-9]{0,9}|[1-9][0-9]{0,6}\.[0-9]{1,8})"
-_NUMBER = rf"(?:0|-?[1-9][0-9]{{0,17}}|{_DECIMAL})"
-_DATE = r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1[0-9]|2[0-8])"
+_DECIMAL = (
+    r"-?(?:0\.0|0\.0{0,3}[1-9][0-9]{0,9}|(?![0-9.]{17})[1-9][0-9]{0,14}\.[0-9]{1,14})"
+)
+_NUMBER = rf"(?:0|-?[1-9][0-9]*|{_DECIMAL})"
+_YEAR = r"(?!0000)[0-9]{4}"
+_LEAP = r"(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:0[48]|[2468][048]|[13579][26])00)"
+_DATE = (
+    rf"(?:{_YEAR}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1[0-9]|2[0-8])"
+    rf"|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)|{_LEAP}-02-29)"
+)
 _QUOTED = r"\"[^\"\\]*\"|'[^']*'"
 _WORDS = r"[\p{L}_/](?:[^:#\t]|:(?! |$)|(?<! )#)*+"
-_VALUE = rf"(?:{_NUMBER}|{_DATE}|{_QUOTED}|{_WORDS}|~)"
+# Words that begin with a digit and are no number: versions, addresses, amounts with a unit.
+_COUNTED = r"[0-9]++(?:\.[0-9]++){2,}|[1-9][0-9]*+(?:\.[0-9]++)?[a-zA-Z%]++"
+_VALUE = rf"(?:{_NUMBER}|{_DATE}|{_QUOTED}|{_WORDS}|{_COUNTED}|~)"
 # lead spaces, dash of a pair, key, value of the key, value of a list item
 LINE = rf"^( *)(?:(- )?({_KEY}):(?: +({_VALUE}))?|- +({_VALUE})) *$"
-FIRST_LINE = r"^\s*(?:#|- |[\p{L}_][^\n\r:]*+:(?:\s|$))"
+START = r"^---\s*$"
+FIRST_LINE = r"^\s*(?:#|- |---\s*[\n\r]|[\p{L}_][^\n\r:]*+:(?:\s|$))"
 
 
 def _scalar_text(raw: Column) -> Column:
@@ -209,9 +219,12 @@ def compact_lines(text: Column) -> Column:
             ),
         )
 
-    lines = F.filter(filled_lines(text), lambda line: ~line.rlike(r"^\s*#"))
+    filled = F.filter(filled_lines(text), lambda line: ~line.rlike(r"^\s*#"))
+    opened = lambda lines: F.when(  # noqa: E731  the first line may start a document
+        F.get(lines, F.lit(0)).rlike(START), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    ).otherwise(lines)
     return let(
-        lines,
+        let(filled, opened),
         lambda found: F.when(
             (F.size(found) > 0) & F.forall(found, lambda line: line.rlike(LINE)),
             let(F.transform(found, _parse), with_entries),

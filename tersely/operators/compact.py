@@ -34,7 +34,6 @@ RULE_OF_KIND = {
 }
 MIN_CONFIDENCE = 0.65
 THRESHOLD = 0.3
-MAX_INPUT_BYTES = 262144
 DISABLED = "compression disabled by config; kept original"
 UNSURE = "confidence below threshold; kept original"
 LOW_SCORE = "compression score below threshold; kept original"
@@ -54,7 +53,7 @@ class Options:
     """
 
     format_version: str = "1"
-    max_input_bytes: int = MAX_INPUT_BYTES
+    max_input_bytes: int | None = None
     threshold: float = THRESHOLD
     min_confidence: float = MIN_CONFIDENCE
     rules: Mapping[str, bool] = field(default_factory=dict)
@@ -149,6 +148,8 @@ def _prepared(documents: DataFrame, text_col: str, options: Options) -> DataFram
     docs = materialise(documents, _segments=segments_of(text_col))
     if options.format_version not in form.FORMAT_VERSIONS:
         stop = F.lit(f"unsupported format version {options.format_version}")
+    elif options.max_input_bytes is None:
+        stop = F.lit(None)
     else:
         stop = F.when(input_bytes(text) > options.max_input_bytes, F.lit(TOO_LARGE))
     docs = docs.withColumn("_stop", stop.cast("string"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tersely.functions import compact_form as form
 from tersely.functions.json_text import RECORD_LIST, record_lists
 from tersely.functions.text import let
-from tersely.operators.skew import HOT_ROWS, split_of, with_hot_flag
 
 
 def _row_text(cols: Sequence[str]) -> Column:
@@ -28,22 +27,18 @@ def pack_records(
     cols: Sequence[str],
     name: str = form.ROOT_NAME,
     bucket: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One compact block per key: ``(keys, block_no, n, block)``.
 
-    A key with more than ``hot_rows`` rows gives one block per ``bucket``
-    instead of one huge string; ``block_no`` is the bucket then, else 0. Each
-    block carries its own header, and no row is left out. Use ``pack_lines``
-    where a hot key must stay a single block.
+    With a ``bucket`` every key gives a block for each of its buckets, and
+    ``block_no`` is the bucket, else 0; row counts decide nothing. Each block
+    carries its own header, and no row is left out. A block is one string: use
+    ``pack_lines`` where a key may hold more than a row can.
     """
     keys = list(keys)
-    any_hot = False
-    if bucket is not None:
-        df, any_hot = with_hot_flag(df, keys, hot_rows)
     rows = df.select(
         *keys,
-        split_of(bucket if any_hot else None).alias("block_no"),
+        (F.lit(0) if bucket is None else bucket).cast("long").alias("block_no"),
         *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)],
         F.concat(form.indent(1), _row_text(cols)).alias("_row"),
     )

@@ -17,6 +17,7 @@ from tersely.functions.text import (
 
 # --- fixed values -----------------------------------------------------------
 TOLERANCE_PERCENT = 5.0
+MAX_RULES = 8
 # ----------------------------------------------------------------------------
 
 
@@ -180,13 +181,18 @@ def rule_gate(segments: DataFrame, rules: DataFrame, threshold: float | None = N
     """Segments with their rule and, given a threshold, whether the score passes.
 
     ``rules`` is ``(kind, enabled)``, at most one row per segment type; a type
-    without a row is enabled.
+    without a row is enabled. The rules become an expression, so segments, most
+    of which are of one type, are not shuffled.
     """
-    joined = segments.join(rules, "kind", "left")
-    enabled = F.coalesce("enabled", F.lit(True))
-    out = joined.withColumn("enabled", enabled)
+    found = rules.select("kind", "enabled").limit(MAX_RULES + 1).collect()
+    if len(found) > MAX_RULES or len({row.kind for row in found}) < len(found):
+        raise ValueError(f"rules must have one row per segment type, {MAX_RULES} at most")
+    off = [row.kind for row in found if row.enabled is False]
+    out = segments.withColumn(
+        "enabled", ~F.coalesce(F.col("kind").isin(*off), F.lit(False)) if off else F.lit(True)
+    )
     if threshold is not None:
-        out = out.withColumn("open", enabled & (F.col("score") >= threshold))
+        out = out.withColumn("open", F.col("enabled") & (F.col("score") >= threshold))
     return out
 
 

@@ -1,9 +1,9 @@
 """Collapse runs of equal log lines over tables of log lines.
 
 A stream of lines is one key. Runs are found inside ``(key, bucket)`` with one
-shuffle; only keys with more rows than one task should hold are split into
-buckets, and for those the first and last run of every bucket are merged with
-their neighbours in a second, small pass.
+shuffle; where a bucket is given, the first and last run of every bucket are
+merged with their neighbours in a second, small pass. The runs are the same
+with any bucket and with none.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tersely.functions.logs import MIN_RUN, mask_digits, normalise_line, run_marker
 from tersely.functions.text import strip, tokens_of_chars
-from tersely.operators.skew import HOT_ROWS, split_of, with_hot_flag
 
 
 def line_runs(
@@ -25,7 +24,6 @@ def line_runs(
     order: Sequence[str],
     line_col: str = "line",
     bucket: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per run: keys, ``n``, ``chars``, ``first`` and ``last`` line.
 
@@ -35,10 +33,7 @@ def line_runs(
     """
     keys, order = list(keys), list(order)
     filled = lines.filter(strip(F.col(line_col)) != "")
-    any_hot = False
-    if bucket is not None:
-        filled, any_hot = with_hot_flag(filled, keys, hot_rows)
-    part = split_of(bucket if any_hot else None).alias("_part")
+    part = (F.lit(0) if bucket is None else bucket).cast("long").alias("_part")
     rows = filled.select(
         *keys,
         *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)],
@@ -60,7 +55,7 @@ def line_runs(
         F.max(F.struct(*places, F.col("_line").alias("line"))).alias("last"),
         F.first("_norm").alias("norm"),
     )
-    if any_hot:
+    if bucket is not None:
         runs = _merged(runs, keys)
     named = lambda side: F.struct(
         *[F.col(f"{side}._o{n}").alias(c) for n, c in enumerate(order)], F.col(f"{side}.line")
@@ -99,13 +94,12 @@ def collapse_line_runs(
     order: Sequence[str],
     line_col: str = "line",
     bucket: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Lines after collapsing: keys, order of the (first) line, ``n``, ``line``.
 
     A run of three or more becomes one line; shorter runs keep their lines.
     """
-    runs = line_runs(lines, keys, order, line_col, bucket, hot_rows)
+    runs = line_runs(lines, keys, order, line_col, bucket)
     place = lambda side: [F.col(f"{side}.{c}").alias(c) for c in order]
     first = F.struct(*place("first"), F.col("first.line").alias("line"))
     last = F.struct(*place("last"), F.col("last.line").alias("line"))
@@ -124,10 +118,9 @@ def run_savings(
     order: Sequence[str],
     line_col: str = "line",
     bucket: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Lines and tokens of each key's log text before and after collapsing."""
-    runs = line_runs(lines, keys, order, line_col, bucket, hot_rows)
+    runs = line_runs(lines, keys, order, line_col, bucket)
     long_run = F.col("n") >= MIN_RUN
     chars_after = F.when(
         long_run, F.length(run_marker(F.col("n"), F.col("norm"))) + 1

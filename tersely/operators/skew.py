@@ -1,44 +1,8 @@
-"""Find keys with too many rows for one task, so that only they are split."""
+"""Spread costly rows over all tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-
-
-def with_hot_flag(
-    df: DataFrame,
-    keys: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    max_keys: int = MAX_HOT_KEYS,
-) -> tuple[DataFrame, bool]:
-    """``df`` with a boolean ``_hot``, and whether any key is hot.
-
-    One counting pass over the key columns alone, combined before its shuffle.
-    At most ``max_keys`` + 1 keys reach the driver, and the broadcast holds at
-    most ``max_keys`` rows; with more hot keys than that, every key is treated
-    as hot, which costs time but changes no result.
-    """
-    keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).drop("_n")
-    found = hot.limit(max_keys + 1).collect()
-    if not found:
-        return df.withColumn("_hot", F.lit(False)), False
-    if len(found) > max_keys:
-        return df.withColumn("_hot", F.lit(True)), True
-    small = df.sparkSession.createDataFrame(found, hot.schema)
-    small = small.select(*[F.col(key).alias(f"_k{n}") for n, key in enumerate(keys)])
-    match = F.lit(True)
-    for n, key in enumerate(keys):
-        match = match & df[key].eqNullSafe(small[f"_k{n}"])
-    marked = df.join(F.broadcast(small.withColumn("_hot", F.lit(True))), match, "left")
-    return marked.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot")), True
+from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -49,10 +13,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(count, key)
-
-
-def split_of(bucket: Column | None) -> Column:
-    """Bucket of a hot row; 0 for all others."""
-    if bucket is None:
-        return F.lit(0).cast("long")
-    return F.when(F.col("_hot"), bucket.cast("long")).otherwise(F.lit(0).cast("long"))

@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The local fallback serves sessions that name none, as in tests.
+    The local fallback serves local sessions that name none, as in tests.
     """
     base = checkpoint_dir(spark)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

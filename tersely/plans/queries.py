@@ -175,9 +175,8 @@ def pack_orders_by_customer(spark, sf):
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("prio"),
     )
-    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     return records.pack_records(
-        orders, ["o_custkey"], ["o_orderdate", "id"], ["id", "status", "prio"], "orders", month
+        orders, ["o_custkey"], ["o_orderdate", "id"], ["id", "status", "prio"], "orders"
     )
 
 
@@ -191,8 +190,7 @@ def pack_events_by_user(spark, sf):
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("seen"),
     )
     return records.pack_records(
-        events, ["user_id"], ["ts", "event_id"], ["event_id", "what", "seen"], "events",
-        inputs.time_slot(),
+        events, ["user_id"], ["ts", "event_id"], ["event_id", "what", "seen"], "events"
     )
 
 

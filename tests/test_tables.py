@@ -4,25 +4,23 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
 
 from tersely.operators import records, reports, runs
 from tersely.operators.json_docs import json_compact, json_nodes
-from tersely.operators.skew import with_hot_flag
 
+CELL = {ord("\\"): "\\\\", ord(","): "\\,", ord("\n"): "\\n"}
 STAMP = re.compile(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\s*")
 
 
 def brute_collapse(lines):
-    out, at = [], 0
-    while at < len(lines):
-        norm, end = STAMP.sub("", lines[at]).strip(), at
-        while end < len(lines) and STAMP.sub("", lines[end]).strip() == norm:
-            end += 1
-        out += [f"[×{end - at}] {norm}"] if end - at >= 3 else lines[at:end]
-        at = end
+    out = []
+    for message, run in groupby(lines, key=lambda line: STAMP.sub("", line).strip()):
+        run = list(run)
+        out += run if len(run) < 3 else [f"[×{len(run)}] {message}"]
     return out
 
 
@@ -40,11 +38,11 @@ def log(spark):
     return rows, spark.createDataFrame(rows, "user long, line_no long, line string")
 
 
-@pytest.mark.parametrize("bucket_rows, hot_rows", [(None, 10), (7, 100), (1, 5), (50, 10_000)])
-def test_runs_match_brute_force(log, bucket_rows, hot_rows):
+@pytest.mark.parametrize("bucket_rows", [None, 1, 7, 50, 10**9])
+def test_runs_match_brute_force(log, bucket_rows):
     rows, df = log
     bucket = None if bucket_rows is None else F.floor(F.col("line_no") / bucket_rows)
-    out = runs.collapse_line_runs(df, ["user"], ["line_no"], bucket=bucket, hot_rows=hot_rows)
+    out = runs.collapse_line_runs(df, ["user"], ["line_no"], bucket=bucket)
     got = {}
     for row in sorted(out.collect(), key=lambda r: (r.user, r.line_no)):
         got.setdefault(row.user, []).append(row.line)
@@ -52,15 +50,6 @@ def test_runs_match_brute_force(log, bucket_rows, hot_rows):
         assert got[user] == brute_collapse([line for u, _, line in rows if u == user])
 
 
-def test_hot_flag_paths(log):
-    _, df = log
-    assert with_hot_flag(df, ["user"], hot_rows=10_000)[1] is False
-    some, hot = with_hot_flag(df, ["user"], hot_rows=100)
-    assert hot and {r.user for r in some.filter("_hot").select("user").distinct().collect()} == {0}
-    every, hot = with_hot_flag(df, ["user"], hot_rows=1, max_keys=2)
-    assert hot and every.filter("_hot").count() == len(log[0])
-
-
 def test_one_shuffle_for_runs(log):
     _, df = log
     plan = runs.line_runs(df, ["user"], ["line_no"])._jdf.queryExecution().executedPlan().toString()
@@ -75,7 +64,7 @@ def test_pack_records(spark):
     packed = {r.k: r for r in records.pack_records(df, ["k"], ["id"], ["id", "v"], "rows").collect()}
     assert packed[1].block == "rows[3]{id,v}:\n  1,null\n  2,a\\,b\n  3,x\\\\y\\nz\n"
     split = records.pack_records(
-        df, ["k"], ["id"], ["id", "v"], "rows", bucket=F.floor(F.col("id") / 2), hot_rows=2
+        df, ["k"], ["id"], ["id", "v"], "rows", bucket=F.floor(F.col("id") / 2)
     )
     blocks = sorted((r.k, r.block_no, r.n) for r in split.collect())
     assert blocks == [(1, 0, 1), (1, 1, 2), (2, 0, 1)]
@@ -92,7 +81,7 @@ def reference_lines(value, name, depth):
         return {True: "true", False: "false", None: "null"}[v] if v is None or v is True or v is False else str(v)
 
     def cell(v):
-        return word(v).replace("\\", "\\\\").replace(",", "\\,").replace("\n", "\\n")
+        return word(v).translate(CELL)
 
     if isinstance(value, dict):
         body = [line for k, v in value.items() for line in reference_lines(v, k, depth + 1)]

@@ -19,9 +19,8 @@ from tersely.functions import delimited, json_text, logs, traces, yaml_text
 from tersely.functions.scoring import compaction_score
 from tersely.functions.text import compression_ratio, input_bytes, let
 from tersely.operators.hooks import BUILTIN, HEURISTIC, Compressor, Estimator
-from tersely.operators.json_docs import value_line, value_rows
+from tersely.operators.json_docs import ROW_KEY, numbered, value_line, value_rows
 from tersely.operators.segments import line_ranges_of, materialise, segments_of
-from tersely.operators.skew import spread
 
 # --- fixed values -----------------------------------------------------------
 RULE_OF_KIND = {
@@ -273,34 +272,34 @@ def _line() -> Column:
     return value_line()
 
 
-def _json_forms(docs: DataFrame, id_col: str) -> DataFrame:
+def _json_forms(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Documents with the compact form of each open JSON segment.
 
     The document row itself travels as entry 0 next to the token rows, so it
     is neither joined back nor shuffled twice.
     """
-    payload = [c for c in docs.columns if c != id_col]
+    payload = [c for c in docs.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in payload])
-    docs = docs.withColumn("_row", row).select(id_col, "_row")
+    docs = docs.withColumn("_row", row).select(*keys, "_row")
     rows = docs.withColumn("_entries", _token_entries())
     head = F.struct(F.lit(0).alias("seg"), F.lit(0).alias("pos"), F.get("_entries", F.lit(-1))["t"].alias("t"))
     rows = rows.select(
-        id_col, "_row", F.posexplode(F.concat(F.array(head), F.col("_entries"))).alias("_at", "_e")
+        *keys, "_row", F.posexplode(F.concat(F.array(head), F.col("_entries"))).alias("_at", "_e")
     ).select(
-        id_col,
+        *keys,
         F.when(F.col("_at") == 0, F.col("_row")).alias("_row"),
         F.col("_e.seg").alias("seg"),
         F.col("_e.pos").alias("pos"),
         F.col("_e.t").alias("t"),
     )
-    lines = value_rows(rows, [id_col, "seg"]).select(
-        id_col, "seg", "pos", "_row", F.when(F.col("seg") > 0, _line()).alias("line")
+    lines = value_rows(rows, [*keys, "seg"]).select(
+        *keys, "seg", "pos", "_row", F.when(F.col("seg") > 0, _line()).alias("line")
     )
-    blocks = lines.groupBy(id_col, "seg").agg(
+    blocks = lines.groupBy(*keys, "seg").agg(
         F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY pos)").alias("block"),
         F.first("_row", ignorenulls=True).alias("_row"),
     )
-    joined = blocks.groupBy(id_col).agg(
+    joined = blocks.groupBy(*keys).agg(
         F.map_from_entries(
             F.collect_list(
                 F.when(
@@ -311,7 +310,7 @@ def _json_forms(docs: DataFrame, id_col: str) -> DataFrame:
         ).alias("_forms"),
         F.first("_row", ignorenulls=True).alias("_row"),
     )
-    return joined.select(id_col, "_forms", *[F.col(f"_row.{c}").alias(c) for c in payload])
+    return joined.select("_forms", *[F.col(f"_row.{c}").alias(c) for c in payload])
 
 
 def compact_documents(
@@ -322,15 +321,17 @@ def compact_documents(
 ) -> DataFrame:
     """Documents with their compacted text, decision, tokens and segments.
 
-    ``id_col`` must be unique and not NULL. Other columns pass through.
+    Each row is a document of its own: ids may repeat or be NULL. Other columns
+    pass through. Rows are spread by content and numbered where they arrive, so
+    a repeated task gives the same rows.
     """
     options = options or DEFAULTS
     may_hold = _may_hold_json(F.col(text_col))
     here = _prepared(documents.filter(~may_hold), text_col, options)
     here = here.withColumn("_forms", F.lit(None).cast("map<int,string>"))
     in_row = _decided(_with_rewrites(here, options), text_col, options)
-    candidates = spread(documents.filter(may_hold), id_col)
-    forms = _json_forms(_prepared(candidates, text_col, options), id_col)
+    candidates = numbered(documents.filter(may_hold), id_col, text_col)
+    forms = _json_forms(_prepared(candidates, text_col, options), ROW_KEY)
     shuffled = _decided(_with_rewrites(forms, options), text_col, options)
     return in_row.unionByName(shuffled)
 

@@ -92,15 +92,27 @@ def value_line(root: str = form.ROOT_NAME) -> Column:
     )
 
 
+ROW_KEY = ["_key", "_number"]
+
+
+def numbered(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``documents`` spread by content, each row with a key of its own (``ROW_KEY``).
+
+    Rows are numbered where they arrive, so a repeated task gives the same rows.
+    """
+    keyed = documents.withColumn("_key", F.xxhash64(id_col, text_col))
+    return spread(keyed, "_key").withColumn("_number", F.monotonically_increasing_id())
+
+
 def json_nodes(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per JSON value: position, depth, name, kind and scalar text.
 
-    ``documents`` holds valid JSON texts under a unique id.
+    ``documents`` holds valid JSON texts; each row is a document of its own.
     """
-    rows = spread(documents, id_col).select(
-        id_col, F.posexplode(plain_tokens(F.col(text_col))).alias("pos", "t")
+    rows = numbered(documents, id_col, text_col).select(
+        *ROW_KEY, id_col, F.posexplode(plain_tokens(F.col(text_col))).alias("pos", "t")
     )
     tok = F.col("t.tok")
     kind = (
@@ -112,7 +124,7 @@ def json_nodes(
         .otherwise(F.lit("number"))
     )
     label = F.col("t.label")
-    return value_rows(rows, [id_col]).select(
+    return value_rows(rows, ROW_KEY).select(
         id_col,
         "pos",
         "depth",
@@ -127,12 +139,14 @@ def json_compact(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Compact block per JSON document: ``(id, compact)``."""
-    rows = spread(documents, id_col).select(
-        id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "t")
+    rows = numbered(documents, id_col, text_col).select(
+        *ROW_KEY, id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "t")
     )
-    lines = value_rows(rows, [id_col]).select(id_col, "pos", value_line().alias("line"))
-    return lines.groupBy(id_col).agg(
+    lines = value_rows(rows, ROW_KEY).select(*ROW_KEY, id_col, "pos", value_line().alias("line"))
+    blocks = lines.groupBy(*ROW_KEY).agg(
+        F.first(id_col).alias(id_col),
         F.concat(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY pos)"), F.lit("\n")).alias(
             "compact"
-        )
+        ),
     )
+    return blocks.drop(*ROW_KEY)

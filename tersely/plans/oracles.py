@@ -553,9 +553,8 @@ UNION ALL SELECT tool, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""",
 FROM events GROUP BY 1, 2""",
     "stream_compact_prompts": _with(PROMPTS, SEGMENTS, REWRITES)
     + f"SELECT doc_id, 0::BIGINT AS chunk_no, output, action, output_tokens FROM ({COMPACTED})",
-    "stream_log_runs": _with(LOG_LINES, RUNS.replace("runs AS (", "all_runs AS ("))
-    + """, runs AS (SELECT * FROM all_runs
-  QUALIFY run <> max(run) OVER (PARTITION BY user_id))
+    "stream_log_runs": _with(LOG_LINES, RUNS)
+    + """
 SELECT CAST(user_id AS VARCHAR) AS stream, first_id AS place, n,
   CASE WHEN n >= 3 THEN '[×' || n || '] ' || norm ELSE first_line END AS line FROM runs
 UNION ALL

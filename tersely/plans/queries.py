@@ -552,6 +552,7 @@ def _event_stream(spark, sf):
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
         .parquet(sf)
     )
 
@@ -566,18 +567,24 @@ def stream_running_metrics(spark, sf):
         F.col("user_id").alias("input_tokens"),
         (F.col("user_id") / 2).cast("long").alias("output_tokens"),
     )
-    name = "running_metrics"
+    folder = inputs.scratch(spark, "running-metrics")
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    metrics = stream_metrics.running_metrics(rows)
     started = (
-        stream_metrics.running_metrics(rows)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", inputs.scratch(spark, name))
+        metrics.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     started.awaitTermination()
-    return spark.table(name)
+    keys = ["day", "tool"]
+    counters = [c for c in metrics.columns if c not in keys]
+    latest = [F.max_by(c, "batch").alias(c) for c in counters]
+    return spark.read.parquet(f"{folder}/out").groupBy(*keys).agg(*latest)
 
 
 @query
@@ -613,7 +620,8 @@ def stream_log_runs(spark, sf):
         .start()
     )
     started.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    closed = spark.read.parquet(f"{folder}/out")
+    return closed.unionByName(stream_runs.open_runs(spark, f"{folder}/checkpoint"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +80,14 @@ def append_records(records: DataFrame, path: str, enabled: bool = True) -> None:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit records with their day; a bad line raises."""
-    return spark.read.schema(AUDIT + ", day string").option("mode", "FAILFAST").json(path)
+    """Audit records with their day; a bad line raises, a missing path holds none."""
+    schema = AUDIT + ", day string"
+    try:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def filter_audit(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tersely.functions.logs import MIN_RUN, normalise_line
+from tersely.functions.logs import MIN_RUN, normalise_line, run_marker
 from tersely.functions.text import strip
 
 OUTPUT = "stream string, place long, n long, line string"
@@ -93,7 +93,8 @@ def collapse_stream(
     State per stream is its open run. A run is given out when the line differs
     and, given an event time column, when the watermark has passed its last
     line by ``IDLE_MS``. Lines must arrive in order of ``place_col`` from
-    trigger to trigger; within one they may be mixed.
+    trigger to trigger; within one they may be mixed. ``open_runs`` gives what a
+    stream that has ended still holds.
     """
     filled = lines.filter(strip(F.col(line_col)) != "")
     columns = [
@@ -110,3 +111,24 @@ def collapse_stream(
     return rows.groupBy("stream").applyInPandasWithState(
         _advance, OUTPUT, STATE, "append", timeout
     )
+
+
+def open_runs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Output rows of the runs still open where a collapsed stream has stopped.
+
+    Read from the state under its checkpoint folder, so the stream's own output
+    and these rows are together the whole collapsed log.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    runs = state.select("key.stream", "value.groupState.*")
+    row = lambda place, line: F.struct(
+        F.col(place).alias("place"), F.col("n"), line.alias("line")
+    )
+    first, last = row("first_place", F.col("first_line")), row("last_place", F.col("last_line"))
+    marker = row("first_place", run_marker(F.col("n"), F.col("norm")))
+    lines = (
+        F.when(F.col("n") >= MIN_RUN, F.array(marker))
+        .when(F.col("n") == 2, F.array(first, last))
+        .otherwise(F.array(first))
+    )
+    return runs.select("stream", F.inline(lines))

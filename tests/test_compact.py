@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tersely import Options, compact_documents
 from tersely.operators.compact import NOT_SHORTER, REPEATED_KEYS, segment_breakdown
@@ -132,3 +133,13 @@ def test_breakdown(spark, texts):
         (1, 3, "plain", "plain", 5, 5),
     ]
     assert rows[4].changed and rows[4].tokens_saved > 0
+
+
+def test_repeated_and_missing_ids(spark):
+    """Each input row gives one output row, also where ids repeat or are NULL."""
+    rows = [(1, '{"a": [{"x": 1}, {"x": 2}]}'), (1, '{"b": 3}'), (1, '{"b": 3}'), (None, "[1, 2]"), (None, "words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = compact_documents(df).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, rows))
+    alone = {r.text: r.output for r in compact_documents(df.distinct().withColumn("doc_id", F.hash("text"))).collect()}
+    assert all(r.output == alone[r.text] for r in compact_documents(df).collect())

@@ -124,3 +124,7 @@ def test_baseline(spark, tmp_path):
         "worse": "regression",
         "new": "missing baseline fixture",
     }
+
+
+def test_missing_audit_path_is_empty(spark, tmp_path):
+    assert audit_log.read_audit(spark, str(tmp_path / "none")).count() == 0

@@ -220,8 +220,9 @@ def apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs a < b that share a bucket but no label, and of which ``LEAST`` sketch bytes agree.
 
     Buckets are cut into blocks of about ``BLOCK`` members, and two blocks are compared
-    inside a task. Pairs that pass come out packed, by the cell of their homes: classes
-    with the same smallest neighbour share homes of about ``BLOCK`` classes.
+    inside a task. Pairs that pass come out packed, each once, by the cell of their
+    homes: classes with the same smallest neighbour share homes of about ``BLOCK``
+    classes.
     """
     several = (
         members.groupBy("band")
@@ -281,12 +282,18 @@ def apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
         blobs = [part.tobytes() for part in np.split(pairs[1:].T, cuts[1:])] if len(cuts) else []
         return pa.table({"cell": pa.array(homes), "pairs": pa.array(blobs, pa.binary())})
 
-    return (
+    def merged(group: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(blob, np.int64).reshape(-1, 2) for blob in group.column("pairs").to_pylist()]
+        pairs = np.unique(np.concatenate(blobs), axis=0)
+        return pa.table({"cell": group.column("cell")[:1], "pairs": pa.array([pairs.tobytes()], pa.binary())})
+
+    found = (
         placed.join(sketches, "class_id")
         .withColumn("group", F.pmod("cell", F.lit(groups)))
         .groupBy("group")
         .applyInArrow(compare, "cell long, pairs binary")
     )
+    return found.groupBy("cell").applyInArrow(merged, "cell long, pairs binary")
 
 
 def homes(shared: DataFrame) -> DataFrame:
@@ -339,8 +346,7 @@ def confirmed_in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataF
             }
         )
 
-    wanted = cells.mapInArrow(members, "cell long, doc_id long").distinct()
-    needed = wanted.join(sets, "doc_id")
+    needed = cells.mapInArrow(members, "cell long, doc_id long").join(sets, "doc_id")
     return (
         cells.groupBy("cell").cogroup(needed.groupBy("cell")).applyInArrow(check, "a long, b long")
     )

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tersely.llm.bpe import byte_letters
 from tersely.llm.common import slices, texts_of
 from tersely.plans.inputs import scratch
 
@@ -49,6 +50,8 @@ UNITS = re.compile(
     f" ?[{LATIN}]++(?![^{WHITE}{MARKS}])| ?[{MARKS}]++(?![^{WHITE}{LATIN}])"
     f"| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
+#: Units that the pattern keeps whole, so that the merges can be asked for them directly.
+ONE_PIECE = re.compile(f" ?(?:[{LATIN}]+|[{MARKS}]+)")
 MEMO_ENTRIES = 120_000
 SLICE_BYTES = 2_000_000
 
@@ -74,11 +77,18 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
+    def spelled(self, unit: str) -> str:
+        """A unit as the letters that stand for its bytes."""
+        if unit.isascii():
+            return unit.replace(" ", self.letters[32])
+        return "".join(map(self.letters.__getitem__, unit.encode()))
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         units = [None if self.added and self.added.search(t) else UNITS.findall(t) for t in texts]
@@ -89,8 +99,12 @@ class ByteEncoder:
         known = unknown & self.older.keys()
         memo.update((u, self.older[u]) for u in known)
         new = list(unknown - known)
-        for first in range(0, len(new), 2_000):
-            some = new[first : first + 2_000]
+        whole = list(filter(ONE_PIECE.fullmatch, new))
+        for unit in whole:
+            memo[unit] = array(self.code, [t.id for t in self.model.tokenize(self.spelled(unit))]).tobytes()
+        mixed = list(set(new).difference(whole))
+        for first in range(0, len(mixed), 2_000):
+            some = mixed[first : first + 2_000]
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             for unit, item in zip(some, coded, strict=True):
                 memo[unit] = array(self.code, item.ids).tobytes()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tersely.plans.inputs import scratch
 from tersely.session import checkpoint_dir
 
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 1_500_000
 U64 = np.uint64
 
 

@@ -46,6 +46,8 @@ from tersely.llm.common import (
 
 SEED = 4
 BLOCK_BYTES = 8_000_000
+#: A longer slice finds more of its own repeats before the shuffle.
+SLICE_BYTES = 6_000_000
 WORD = re.compile("[^ \t-\r]+")
 FIRST_ID = -(2**63)
 
@@ -213,7 +215,7 @@ def remove_repeats(
     ).withColumn("key", F.shiftrightunsigned(F.xxhash64("text"), 32))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             doc = part.column(0).fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
             key = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
             order = np.lexsort((key, doc))

@@ -532,3 +532,21 @@ def test_probabilities_are_found_without_the_partition_files(spark, quality_tabl
 
     monkeypatch.setattr(quality.Probabilities, "__init__", lost)
     assert counted(quality.quality(docs, labels).collect()) == want
+
+
+def test_five_characters_packed_by_shard(spark, tmp_path):
+    assert quality.ORDER == 5
+    texts = ["na\u00efve \U0001f600 caf\u00e9 12", "a\U0001f600b\U0001f600b", "x"]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    rows = quality.gram_rows(docs).collect()
+    assert len({(r.part, r.shard) for r in rows}) == len(rows)
+    shares, contexts = quality.fitted(docs)
+    quality.sharded(shares, contexts, str(tmp_path / "model"))
+    found = {}
+    for row in quality.gram_bits(quality.gram_rows(docs), f"file://{tmp_path}/model").collect():
+        grams = quality.unpacked(row.grams, quality.ORDER)
+        found |= zip(map(tuple, grams.tolist()), np.frombuffer(row.bits), strict=True)
+    for text in texts:
+        codes, _, _ = quality.characters([text])
+        own = [found[tuple(codes[k : k + 5].tolist())] for k in range(len(text) + 1)]
+        assert sum(own) == pytest.approx(brute_bits(texts, text), rel=1e-9)

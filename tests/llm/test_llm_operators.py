@@ -550,3 +550,19 @@ def test_five_characters_packed_by_shard(spark, tmp_path):
         codes, _, _ = quality.characters([text])
         own = [found[tuple(codes[k : k + 5].tolist())] for k in range(len(text) + 1)]
         assert sum(own) == pytest.approx(brute_bits(texts, text), rel=1e-9)
+
+
+def test_a_few_toxic_words_in_ordinary_text(spark, tmp_path):
+    pick = random.Random(9)
+    good = lambda: " ".join(pick.choice("the cat sat on a mat and ran 12 far".split()) for _ in range(300))
+    toxic = lambda: f"{good()} nomat nosat {good()}"
+    rows = [(n, good(), "en") for n in range(60)] + [(n, toxic(), "en") for n in range(100, 112)]
+    rows += [(n, toxic(), "en") for n in (200, 201)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    marks = [(n, 1, 0) for n in range(60)] + [(n, 1, 1) for n in range(100, 112)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality(spark.read.parquet(str(tmp_path / "docs")), labels).collect()}
+    for n in (200, 201):
+        assert got[n].toxic_score > got[n].toxic_threshold and not got[n].kept
+    assert sum(got[n].kept for n in range(60)) >= 57

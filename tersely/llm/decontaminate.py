@@ -8,7 +8,8 @@ shifts each posting by the anchor's offset in its item, and intersects it with t
 other words' positions, so that every window that a document holds is found exactly
 once. A window with a word that the corpus lacks is dropped at once.
 
-``proximity`` gives the matches where only a share of the words of an alignment agree.
+``proximity`` gives the windows where only a share of the words agree, looked up by several
+anchors each, so that no allowed set of mismatches hits them all.
 
 All steps are DataFrame functions. Postings meet anchors by a broadcast join while the
 benchmark has at most ``MAX_BROADCAST_WORDS`` words, counted beforehand; beyond that by
@@ -76,17 +77,16 @@ def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def anchors(words: DataFrame, counts: DataFrame, window: int, absent: bool = False) -> DataFrame:
+def anchors(words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     """Per item and anchor: term, back (words of ``phrase`` before it), phrase, size of a window.
 
     ``phrase`` spans all windows whose rarest word is this one. Windows with words that
-    the corpus lacks have no anchor, or, if ``absent``, the rarest of the others.
+    the corpus lacks have no anchor.
     """
     counted = words.join(counts, "term", "left").na.fill(0, ["n"])
     item = Window.partitionBy("item_id", "item_key")
     ahead = item.orderBy("at").rowsBetween(0, window - 1)
-    found = F.when(F.col("n") > 0, F.struct("n", "at")) if absent else F.struct("n", "at")
-    rarest = F.min(found).over(ahead)
+    rarest = F.min(F.struct("n", "at")).over(ahead)
     last_start = F.greatest(F.lit(0), F.count("*").over(item) - window)
     chosen = counted.select(
         "item_id",
@@ -129,13 +129,14 @@ def matches(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
-    absent: bool = False,
+    near: float | None = None,
 ) -> DataFrame:
     """Aligned phrases: doc_id, doc_key, n_words, item_id, start, agree, window.
 
     ``agree`` tells for each word of the phrase whether the document has it at its
     place, the first at word ``start`` of the document (counted from 0). Every row of
-    ``docs`` also gives one row without an item.
+    ``docs`` also gives one row without an item. With ``near``, a share of words, the
+    anchors are those of ``near_anchors``, and there is a column windows.
     """
     words = item_words(benchmark, item_id_col, item_text_col)
     size = words.count()
@@ -152,7 +153,9 @@ def matches(
         .groupBy("term")
         .agg(F.count("*").alias("n"))
     )
-    wanted = written(anchors(words, counts, window, absent), "anchors")
+    wanted = written(
+        anchors(words, counts, window) if near is None else near_anchors(words, counts, near, window), "anchors"
+    )
     terms = sorted(row.term for row in wanted.select("term").distinct().collect())
     passes = [terms[at : at + MAX_TERMS] for at in range(0, len(terms), MAX_TERMS)] or [[]]
     found = reduce(
@@ -174,6 +177,7 @@ def matches(
         (F.col("at") - F.col("back") - F.col("lead")).alias("start"),
         agree.alias("agree"),
         "window",
+        *(["windows"] if near is not None else []),
     )
 
 
@@ -262,19 +266,78 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
     ).withColumn("contaminated", F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words"))
 
 
+def near_anchors(words: DataFrame, counts: DataFrame, least: float, window: int) -> DataFrame:
+    """Per item and place that is an anchor: term, back (words of ``phrase`` before it), phrase, windows, window.
+
+    Each window's anchors are as many of its rarest places that no allowed set of mismatches
+    hits them all. ``phrase`` is what windows around the anchor can reach, ``windows`` the
+    places in it where a window begins that has this anchor.
+    """
+    counted = words.join(counts, "term", "left").na.fill(0, ["n"])
+    item = Window.partitionBy("item_id", "item_key")
+    size = F.least(F.lit(window), F.count("*").over(item)).cast("int")
+    # the fewest words that must agree; shares are compared as in ``proximity``
+    needed = F.expr(f"size(filter(sequence(1, window), i -> i / window < {least!r}D)) + 1")
+    placed = (
+        counted.withColumn("window", size)
+        .withColumn("total", F.count("*").over(item))
+        .withColumn("near", F.sort_array(F.collect_list(F.struct("n", "at")).over(
+            item.orderBy("at").rowsBetween(0, window - 1)
+        )))
+        .withColumn("picks", F.col("window") - F.least(F.col("window"), F.greatest(F.lit(1), needed)) + 1)
+    )
+    starts = (
+        placed.where(F.col("at") + F.col("window") <= F.col("total"))
+        .select(
+            "item_id",
+            "item_key",
+            "window",
+            F.col("at").alias("start"),
+            F.explode(F.slice("near", F.lit(1), F.col("picks"))["at"]).alias("at"),
+        )
+        .groupBy("item_id", "item_key", "at", "window")
+        .agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    )
+    whole = placed.groupBy("item_id", "item_key").agg(
+        F.sort_array(F.collect_list(F.struct("at", "word", "term"))).alias("w")
+    )
+    same = F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.item_key") == F.col("i.item_key"))
+    first = F.col("starts")[0]
+    return (
+        starts.alias("s").join(whole.alias("i"), same)
+        .select(
+            F.element_at("w.term", F.col("at") + 1).alias("term"),
+            F.col("s.item_id").alias("item_id"),
+            (F.col("at") - first).alias("back"),
+            F.slice("w.word", first + 1, F.element_at("starts", -1) - first + F.col("window")).alias("phrase"),
+            F.transform("starts", lambda start: start - first).alias("windows"),
+            "window",
+        )
+    )
+
+
 def proximity(
     docs: DataFrame, benchmark: DataFrame, least: float = 0.8, window: int = 13, **columns
 ) -> DataFrame:
-    """Alignments of which a share of ``least`` or more of the words agree: doc_id, item_id, start, share.
+    """Windows of an item that agree in a share of ``least`` or more of their words with as many
+    consecutive words of a document: doc_id, item_id, start, share.
 
-    They are found where the document holds an anchor of the item. One row for each
-    document, item and start.
+    One row for each document, item and start, with the share of its best window. A shorter item
+    is one window. At ``least`` 0 or below, a window must agree in one word. Words beyond the
+    document's ends agree with nothing, so a start may lie before its first word.
     """
-    aligned = matches(docs, benchmark, window=window, absent=True, **columns).where("agree IS NOT NULL")
-    share = F.size(F.filter("agree", lambda a: a)) / F.size("agree")
+    aligned = matches(docs, benchmark, window=window, near=least, **columns).where("agree IS NOT NULL")
+    places = F.transform(
+        "windows",
+        lambda j: F.struct(
+            (F.col("start") + j).alias("start"),
+            (F.size(F.filter(F.slice("agree", j + 1, F.col("window")), lambda a: a)) / F.col("window")).alias("share"),
+        ),
+    )
     return (
-        aligned.select("doc_id", "doc_key", "item_id", "start", share.alias("share"))
-        .where(F.col("share") >= least)
+        aligned.select("doc_id", "doc_key", "item_id", F.explode(places).alias("hit"))
+        .select("doc_id", "doc_key", "item_id", "hit.*")
+        .where((F.col("share") >= least) & (F.col("share") > 0))
         .groupBy("doc_id", "doc_key", "item_id", "start")
         .agg(F.max("share").alias("share"))
         .drop("doc_key")

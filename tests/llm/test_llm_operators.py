@@ -566,3 +566,41 @@ def test_a_few_toxic_words_in_ordinary_text(spark, tmp_path):
     for n in (200, 201):
         assert got[n].toxic_score > got[n].toxic_threshold and not got[n].kept
     assert sum(got[n].kept for n in range(60)) >= 57
+
+
+def brute_proximity(docs, items, least, window):
+    out = {}
+    for doc, text in docs:
+        words = re.findall("[0-9a-z]+", (text or "").lower())
+        for item, phrase in items:
+            own = re.findall("[0-9a-z]+", phrase.lower())
+            size = min(window, len(own))
+            for j in range(len(own) - size + 1) if own else ():
+                for start in range(-size + 1, len(words)):
+                    same = sum(
+                        0 <= start + k < len(words) and words[start + k] == own[j + k] for k in range(size)
+                    )
+                    if same and same / size >= least:
+                        key = doc, item, start
+                        out[key] = max(out.get(key, 0.0), same / size)
+    return out
+
+
+def test_proximity_of_all_alignments(spark):
+    pick = random.Random(12)
+    letters = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    items = [(n, " ".join(pick.choice(letters) for _ in range(size))) for n, size in enumerate((40, 25, 13, 14, 6, 1))]
+    items.append((9, " ".join(f"rare{k}" if k % 7 == 3 else "a" for k in range(25))))
+    docs = [(1, None), (2, ""), (3, "a b c")]
+    for n in range(10, 60):
+        own = pick.choice(items)[1].split()
+        at = pick.randrange(len(own))
+        copy = own[at : at + pick.choice((13, 13, 16, 25))]
+        for _ in range(pick.randrange(4)):
+            copy[pick.randrange(len(copy))] = "other"
+        docs.append((n, " ".join([pick.choice(letters) for _ in range(pick.randrange(9))] + copy + ["end"] * (n % 3))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for least in (0.8, 0.7, 1.0):
+        got = decontaminate.proximity(made_docs(spark, docs), bench, least=least).collect()
+        assert {(r.doc_id, r.item_id, r.start): r.share for r in got} == brute_proximity(docs, items, least, 13)
+        assert len(got) == len({(r.doc_id, r.item_id, r.start) for r in got})

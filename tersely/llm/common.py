@@ -113,20 +113,24 @@ def _letters(fold_case: bool) -> np.ndarray:
 _LETTERS = {fold: _letters(fold) for fold in (False, True)}
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Everything but ASCII letters and the bytes of other characters.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 
-def hashed_words(texts: list[str], fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(
+    texts: list[str], fold_case: bool, blank: np.ndarray = _BLANK
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each text's words begin (one more at the end).
 
-    Words are runs other than space and U+0009 to U+000D; ``fold_case`` lowers A-Z.
-    The hash is a polynomial over a table of random letters, so that all words of a
+    Words are runs other than space and U+0009 to U+000D, or other than the bytes that
+    ``blank`` marks (space must be one); ``fold_case`` lowers A-Z. The hash is a polynomial over a table of random letters, so that all words of a
     slice come from one running sum, then a finaliser.
     """
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)
     ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
     word = np.zeros(len(data) + 2, dtype=bool)
-    np.logical_not(_BLANK[data], out=word[1:-1])
+    np.logical_not(blank[data], out=word[1:-1])
     edges = np.flatnonzero(word[1:] != word[:-1])
     first, last = edges[0::2], edges[1::2]
     up, down = _power(len(data) + 1)

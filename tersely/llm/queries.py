@@ -17,6 +17,7 @@ from tersely.llm import (
     substrings,
     token_files,
     top_k,
+    toxicity,
     url_rules,
 )
 from tersely.llm.common import table
@@ -113,6 +114,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by weights learnt from labelled ones outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, toxicity.train(docs, labels))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,6 +133,7 @@ QUERIES = {
         op8_near_copies,
         op9_bpe,
         op10_quality,
+        op13_toxicity,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tersely.plans.inputs import scratch
@@ -42,6 +42,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``at``, the place from 0 among the rows of equal ``keys``, and ``of``, their number.
+
+    ``keys`` hold no nulls and ``order`` holds comparable columns; nulls come first. Equal rows
+    are told apart by a number of their own, so a range never holds more than its share of
+    them. The sorted rows are written, so their places stay when a task is repeated; only
+    one row for each key and range is summed up to find where a range begins.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order, "_tie"]
+    told = rows.withColumn("_tie", F.monotonically_increasing_id())
+    sorted_rows = told.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_tie")
+    stored = written(sorted_rows.withColumn("_row", F.monotonically_increasing_id()), f"{name}-sorted")
+    stored = stored.withColumn("_part", F.shiftright("_row", 33))
+    runs = stored.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_count"))
+    whole = Window.partitionBy(*keys or [F.lit(0)])
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        *keys,
+        "_part",
+        "_first",
+        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"),
+        F.sum("_count").over(whole).alias("of"),
+    )
+    found = stored.join(written(runs, f"{name}-ranges"), [*keys, "_part"])
+    return found.withColumn("at", F.col("_row") - F.col("_first") + F.col("_base")).drop(
+        "_row", "_part", "_first", "_base"
+    )
+
+
 def text_key(column: str = "text"):
     """Hash of a text that, with the id, names a row; a null text counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

@@ -6,6 +6,73 @@ UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 INDEX_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 SPACED_WORD = r"'[^\x20\x09-\x0D]+'"
 
+def _hashed(*columns: str) -> str:
+    items = (f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"sha256({' || '.join(items)})"
+
+
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(0, 8 * length(doc_id::VARCHAR)), lambda i:
+        CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END::BIGINT)),
+    lambda a, x: CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) // 2, 3988292384)
+      ELSE xor(a, x) // 2 END))"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees over ``leaves`` (g, pos, n, h), by repeated pairing."""
+    return f"""{name} AS (
+  SELECT g, 0 AS lvl, pos, n, h FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 2, n)"""
+
+
+def _fold(name: str, start: str, tree: str) -> str:
+    """Digests on the way from each row of ``start`` (rid, g, pos, n, h) up to the root of ``tree``."""
+    return f"""{name} AS (
+  SELECT rid, g, 0 AS lvl, pos, n, h FROM {start}
+  UNION ALL
+  SELECT f.rid, f.g, f.lvl + 1, f.pos // 2, (f.n + 1) // 2,
+    sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.pos % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END)
+  FROM {name} f LEFT JOIN {tree} s ON s.g = f.g AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1::BIGINT)
+  WHERE f.n > 1)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || lang, 'n') AS g,
+    {_hashed('doc_id', 'source', 'lang', 'n_chars', 'text')} AS h,
+    CASE WHEN {CRC32} % 7 = 0
+      THEN {_hashed('doc_id', 'source', 'lang', '(n_chars + 1)', 'text')} END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+    count(*) OVER (PARTITION BY g) AS n
+  FROM rows),
+{_tree('tree', 'leaves')},
+subroots AS (
+  SELECT g AS part, '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n, h
+  FROM tree WHERE n = 1),
+{_tree('top', 'subroots')},
+{_fold('climb', "(SELECT rid, g, pos, n, coalesce(changed, h) AS h FROM leaves)", 'tree')},
+climbed AS (
+  SELECT c.rid, '' AS g, s.pos, s.n, c.h FROM climb c JOIN subroots s ON s.part = c.g WHERE c.n = 1),
+{_fold('last_climb', 'climbed', 'top')},
+siblings AS (
+  SELECT l.rid, 0 AS scope, t.lvl, t.h FROM leaves l JOIN tree t
+    ON t.g = l.g AND t.n > 1 AND t.pos = xor(l.pos >> t.lvl, 1::BIGINT)
+  UNION ALL
+  SELECT l.rid, 1, t.lvl, t.h FROM leaves l JOIN subroots s ON s.part = l.g JOIN top t
+    ON t.n > 1 AND t.pos = xor(s.pos >> t.lvl, 1::BIGINT)),
+proofs AS (SELECT rid, string_agg(h, '' ORDER BY scope, lvl) AS proof FROM siblings GROUP BY rid)
+SELECT doc_id, leaves.h AS leaf, subroots.h AS subroot, root.h AS root, folded.h AS folded_root,
+  sha256(coalesce(proof, '')) AS proof_sha256, folded.h = root.h AS verified
+FROM leaves JOIN subroots ON subroots.part = leaves.g
+  JOIN (SELECT rid, h FROM last_climb WHERE n = 1) folded ON folded.rid = leaves.rid
+  LEFT JOIN proofs ON proofs.rid = leaves.rid,
+  (SELECT h FROM top WHERE n = 1) root
+"""
+
 URLS = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://')
@@ -152,4 +219,5 @@ ORACLES = {
     "op4_top_k": TOP_K,
     "op6_chat": CHAT,
     "op8_near_copies": NEAR_COPIES,
+    "op11_merkle": MERKLE,
 }

@@ -11,6 +11,7 @@ from tersely.llm import (
     bpe,
     chat,
     decontaminate,
+    merkle,
     near_copies,
     pii,
     quality,
@@ -19,6 +20,7 @@ from tersely.llm import (
     top_k,
     toxicity,
     url_rules,
+    whitening,
 )
 from tersely.llm.common import table
 from tersely.llm.oracles import ORACLES
@@ -114,6 +116,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether a copy, tampered with in part, still fits."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    made = merkle.manifest(docs, changed=F.when(tampered, merkle.leaf(more)))
+    found = merkle.proofs(made)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[merkle.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")],
+        F.sha2(F.array_join(F.transform("proof", merkle.hex_text), ""), 256).alias("proof_sha256"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), components=16)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by weights learnt from labelled ones outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -133,6 +156,8 @@ QUERIES = {
         op8_near_copies,
         op9_bpe,
         op10_quality,
+        op11_merkle,
+        op12_whitening,
         op13_toxicity,
     )
 }

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tersely.functions import compact_form as form
 from tersely.functions.text import let
@@ -247,3 +252,55 @@ def repeated_keys(text: Column) -> Column:
     )
     merged = F.to_json(F.try_parse_json(text))
     return count(text) != count(merged)
+
+
+_PIECE = re.compile(TOKEN, re.DOTALL)
+
+
+def with_last_values(text: str) -> str:
+    """A valid JSON text whose objects repeat no key: the last value stands at the first one's place.
+
+    Every other token is kept as it is written. Objects are held as maps from the key's text,
+    so one pass over the tokens does for any depth.
+    """
+    outer: list[tuple] = []
+    opening, held, key, raw = "", [], None, ""
+    for token in _PIECE.findall(text):
+        if token in "{[":
+            outer.append((opening, held, key, raw))
+            opening, held, key, raw = token, {} if token == "{" else [], None, ""
+            continue
+        if token in ":,":
+            continue
+        if token in "}]":
+            inside = (f"{name}:{value}" for name, value in held.values()) if opening == "{" else held
+            value = opening + ",".join(inside) + token
+            opening, held, key, raw = outer.pop()
+        elif opening == "{" and key is None:
+            key, raw = json.loads(token) if "\\" in token else token[1:-1], token
+            continue
+        else:
+            value = token
+        if opening == "{":
+            held[key] = held.get(key, (raw,))[0], value
+            key = None
+        else:
+            held.append(value)
+    return "".join(held)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _resolved(texts: pd.Series) -> pd.Series:
+    resolve = lambda t: None if t is None else with_last_values(t)
+    return texts.map(lambda found: [resolve(t) for t in found], na_action="ignore")
+
+
+def resolved(texts: Column) -> Column:
+    """Of an array of valid JSON texts those that repeat a key, rewritten; NULL for the others.
+
+    Only texts that repeat a key leave the JVM, in Arrow batches; an array without one is NULL.
+    """
+    repeating = F.transform(texts, lambda t: F.when(t.isNotNull() & repeated_keys(t), t))
+    return _resolved(
+        let(repeating, lambda found: F.when(F.exists(found, lambda t: t.isNotNull()), found))
+    )

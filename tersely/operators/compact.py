@@ -38,7 +38,6 @@ UNSURE = "confidence below threshold; kept original"
 LOW_SCORE = "compression score below threshold; kept original"
 UNSUPPORTED = "unsupported segment type; kept original"
 TREE_KEPT = "tree-like input already compact; kept original"
-REPEATED_KEYS = "repeated object keys; kept original"
 NOT_SHORTER = "rewrite did not reduce estimated tokens"
 TOO_LARGE = "input exceeds max_input_bytes"
 # ----------------------------------------------------------------------------
@@ -76,10 +75,6 @@ def gate(segment: Column, options: Options) -> Column:
         F.when(~options.enabled(kind), F.lit(DISABLED))
         .when(segment["confidence"] < options.min_confidence, F.lit(UNSURE))
         .when(compaction_score(text, kind) < options.threshold, F.lit(LOW_SCORE))
-        .when(
-            F.when(kind == "json", json_text.repeated_keys(text)).otherwise(F.lit(False)),
-            F.lit(REPEATED_KEYS),
-        )
     )
 
 
@@ -256,7 +251,7 @@ def _may_hold_json(text: Column) -> Column:
 def _token_entries() -> Column:
     """Tokens of all open JSON segments of ``_row`` with segment and position."""
     entries = lambda s, i: F.transform(
-        json_text.tokens(s["text"]),
+        json_text.tokens(F.coalesce(F.get("_row._plain", i), s["text"])),
         lambda t, pos: F.struct((i + 1).alias("seg"), pos.alias("pos"), t.alias("t")),
     )
     # Asked of all segments: documents stopped by a guard have no open ones.
@@ -278,6 +273,8 @@ def _json_forms(docs: DataFrame, keys: list[str]) -> DataFrame:
     The document row itself travels as entry 0 next to the token rows, so it
     is neither joined back nor shuffled twice.
     """
+    json_texts = F.transform("_open", lambda s: F.when(s["kind"] == "json", s["text"]))
+    docs = docs.withColumn("_plain", json_text.resolved(json_texts))
     payload = [c for c in docs.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in payload])
     docs = docs.withColumn("_row", row).select(*keys, "_row")

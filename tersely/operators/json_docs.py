@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
-from tersely.functions.json_text import atom_value, plain_tokens, string_value, tokens
+from tersely.functions.json_text import atom_value, plain_tokens, resolved, string_value, tokens
 from tersely.operators.skew import spread
 
 
@@ -104,14 +104,22 @@ def numbered(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(keyed, "_key").withColumn("_number", F.monotonically_increasing_id())
 
 
+def _resolved_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Row keys, id and text of each document, no object of which repeats a key."""
+    rows = numbered(documents, id_col, text_col).select(*ROW_KEY, id_col, text_col)
+    own = F.get(resolved(F.array(text_col)), F.lit(0))
+    return rows.withColumn(text_col, F.coalesce(own, text_col))
+
+
 def json_nodes(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per JSON value: position, depth, name, kind and scalar text.
 
-    ``documents`` holds valid JSON texts; each row is a document of its own.
+    ``documents`` holds valid JSON texts; each row is a document of its own. Of a
+    repeated key the last value counts, at the first one's place.
     """
-    rows = numbered(documents, id_col, text_col).select(
+    rows = _resolved_texts(documents, id_col, text_col).select(
         *ROW_KEY, id_col, F.posexplode(plain_tokens(F.col(text_col))).alias("pos", "t")
     )
     tok = F.col("t.tok")
@@ -139,7 +147,7 @@ def json_compact(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Compact block per JSON document: ``(id, compact)``."""
-    rows = numbered(documents, id_col, text_col).select(
+    rows = _resolved_texts(documents, id_col, text_col).select(
         *ROW_KEY, id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "t")
     )
     lines = value_rows(rows, ROW_KEY).select(*ROW_KEY, id_col, "pos", value_line().alias("line"))

@@ -111,7 +111,11 @@ def prompts(conversations: DataFrame) -> DataFrame:
 
 
 def order_lists(orders: DataFrame, mixed: bool = False) -> DataFrame:
-    """One JSON list of three records per order; ``mixed`` varies their shape."""
+    """One JSON list of three records per order.
+
+    ``mixed`` varies the last record: one third has other keys, one third a repeated key
+    with a subtree each time.
+    """
     key = F.col("o_orderkey")
     quoted = lambda column: F.concat(F.lit('"'), column, F.lit('"'))
     record = lambda i: F.concat(
@@ -124,7 +128,7 @@ def order_lists(orders: DataFrame, mixed: bool = False) -> DataFrame:
         F.lit("}"),
     )
     other = F.when(key % 3 == 1, F.lit('{"status":"F"}')).when(
-        key % 3 == 2, F.lit('{"id":7,"status":{"a":[]},"prio":null}')
+        key % 3 == 2, F.lit('{"id":7,"status":{"a":[1]},"prio":null,"status":{"b":[]}}')
     )
     last = F.coalesce(other, record(2)) if mixed else record(2)
     text = F.concat(F.lit("["), F.concat_ws(",", record(0), record(1), last), F.lit("]"))

@@ -49,6 +49,24 @@ ORDER_LISTS = """order_lists AS (
   SELECT o_orderkey AS doc_id, o_orderkey % 3 AS form, o_orderstatus AS st, o_orderpriority AS pr
   FROM orders)"""
 
+# The third record of form 2 repeats "status": its last value stands at the first one's place.
+ORDER_FORMS = r"""order_forms AS (
+  SELECT doc_id, CASE WHEN form = 0 THEN
+    'data[3]{id,status,prio}:' || chr(10)
+    || array_to_string(['  ' || (doc_id * 10 + i) || ',' || st || ',' || pr || chr(10) for i in [0, 1, 2]], '')
+  ELSE 'data[3]:' || chr(10)
+    || array_to_string([E'  -\n    id: ' || (doc_id * 10 + i) || E'\n    status: ' || st
+         || E'\n    prio: ' || pr || chr(10) for i in [0, 1]], '')
+    || CASE WHEN form = 1 THEN E'  -\n    status: F\n'
+       ELSE E'  -\n    id: 7\n    status:\n      b[0]:\n    prio: null\n' END
+  END AS compact,
+  '[' || array_to_string(['{"id":' || (doc_id * 10 + i) || ', "status":"' || st || '","prio" : "' || pr || '"}'
+      for i in (CASE WHEN form = 0 THEN [0, 1, 2] ELSE [0, 1] END)], ',')
+    || CASE form WHEN 1 THEN ',{"status":"F"}'
+       WHEN 2 THEN ',{"id":7,"status":{"a":[1]},"prio":null,"status":{"b":[]}}' ELSE '' END
+    || ']' AS text
+  FROM order_lists)"""
+
 RESULTS = f"""sized AS (
   SELECT d.doc_id, d.lang, d.source, d.text, e.ts,
     {_tokens('d.text')} AS input_tokens,
@@ -333,18 +351,13 @@ UNION ALL SELECT doc_id, 2, 'prio', 'string', pr, NULL FROM full_items
 UNION ALL SELECT doc_id, 2, 'status', 'string', 'F', NULL FROM items WHERE i = 2 AND form = 1
 UNION ALL SELECT doc_id, 2, 'id', 'number', '7', NULL FROM items WHERE i = 2 AND form = 2
 UNION ALL SELECT doc_id, 2, 'status', 'object', NULL, 1 FROM items WHERE i = 2 AND form = 2
-UNION ALL SELECT doc_id, 3, 'a', 'array', NULL, 0 FROM items WHERE i = 2 AND form = 2
+UNION ALL SELECT doc_id, 3, 'b', 'array', NULL, 0 FROM items WHERE i = 2 AND form = 2
 UNION ALL SELECT doc_id, 2, 'prio', 'null', 'null', NULL FROM items WHERE i = 2 AND form = 2""",
-    "json_compact_docs": _with(ORDER_LISTS)
-    + r"""SELECT doc_id, CASE WHEN form = 0 THEN
-    'data[3]{id,status,prio}:' || chr(10)
-    || array_to_string(['  ' || (doc_id * 10 + i) || ',' || st || ',' || pr || chr(10) for i in [0, 1, 2]], '')
-  ELSE 'data[3]:' || chr(10)
-    || array_to_string([E'  -\n    id: ' || (doc_id * 10 + i) || E'\n    status: ' || st
-         || E'\n    prio: ' || pr || chr(10) for i in [0, 1]], '')
-    || CASE WHEN form = 1 THEN E'  -\n    status: F\n'
-       ELSE E'  -\n    id: 7\n    status:\n      a[0]:\n    prio: null\n' END
-  END AS compact FROM order_lists""",
+    "json_compact_docs": _with(ORDER_LISTS, ORDER_FORMS) + "SELECT doc_id, compact FROM order_forms",
+    "compact_order_lists": _with(ORDER_LISTS, ORDER_FORMS)
+    + f"""SELECT doc_id, CASE WHEN shorter THEN compact ELSE text END AS output,
+  CASE WHEN shorter THEN 'transformed' ELSE 'pass-through' END AS action
+FROM (SELECT *, {_tokens('compact')} < {_tokens('text')} AS shorter FROM order_forms)""",
     # --- segments ---
     "fence_segments": _with(PROMPTS, SEGMENTS)
     + "SELECT doc_id, CAST(seg_no AS BIGINT) AS seg_no, kind, source, text, CAST(confidence AS DOUBLE) AS confidence FROM segs",

@@ -232,6 +232,12 @@ def json_compact_docs(spark, sf):
     return json_compact(inputs.order_lists(inputs.table(spark, sf, "orders"), mixed=True))
 
 
+@query
+def compact_order_lists(spark, sf):
+    docs = inputs.order_lists(inputs.table(spark, sf, "orders"), mixed=True)
+    return C.compact_documents(docs, options=C.Options(threshold=0.0)).select("doc_id", "output", "action")
+
+
 # --- segments ------------------------------------------------------------------
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tersely import Options, compact_documents
-from tersely.operators.compact import NOT_SHORTER, REPEATED_KEYS, segment_breakdown
+from tersely.functions.json_text import with_last_values
+from tersely.operators.compact import NOT_SHORTER, segment_breakdown
+from tersely.operators.json_docs import json_compact, json_nodes
 
 ERRORS = '{"code":502,"message":"upstream timeout"}'
 REPEATED_LOGS = "".join(f"2026-04-12T10:00:0{n}Z ERROR database timeout\n" for n in range(4))
@@ -114,10 +119,55 @@ def test_options(spark, texts):
     assert run(max_input_bytes=200)[2][1] == "ok"
     other = run(format_version="9")
     assert {row[1] for row in other} == {"unsupported format version 9"}
-    repeated = texts(['{"a": 1, "b": 2, "a": 3}' + " " * 90])
-    kept = compact_documents(repeated).first()
-    # A structured hit stores the trimmed text.
-    assert kept.output == kept.text.strip() and kept.segments[0].reason == REPEATED_KEYS
+    repeated = texts(['{"a": 1, "b": 2, "a": {"c": [3]}}' + " " * 90])
+    assert compact_documents(repeated).first().output == "data:\n  a:\n    c[1]:\n      - 3\n  b: 2\n"
+
+
+def _made_json(rng, depth=0):
+    """JSON text whose objects often repeat a key, some in another spelling."""
+    kind = rng.random()
+    if depth > 4 or kind < 0.3:
+        return rng.choice(["1", "-2.50", '"x, {"', "null", "true", '"\\u0041"', '"\\\\"', "1e3"])
+    items = [_made_json(rng, depth + 1) for _ in range(rng.randrange(5))]
+    if kind < 0.55:
+        return "[" + " , ".join(items) + "]"
+    keys = ['"a"', '"\\u0061"', '"b"', '"b "', '"{"', '""', '"\\\\"']
+    return "{ " + ",".join(f"{rng.choice(keys)} : {item}" for item in items) + "}"
+
+
+def _pairs(found):
+    assert len({key for key, _ in found}) == len(found)
+    return dict(found)
+
+
+def test_last_value_of_a_repeated_key():
+    """As a JSON reader with maps has it, at any depth, other tokens untouched."""
+    rng = random.Random(5)
+    for _ in range(500):
+        text = _made_json(rng)
+        out = with_last_values(text)
+        shown = lambda value: json.dumps(value, ensure_ascii=True)
+        assert shown(json.loads(out, object_pairs_hook=_pairs)) == shown(json.loads(text))
+        assert with_last_values(out) == out
+    deep = '{"a":1,"a":' * 5000 + "2" + "}" * 5000
+    assert with_last_values(deep) == '{"a":' * 5000 + "2" + "}" * 5000
+
+
+def test_repeated_keys_in_nodes_and_blocks(spark, texts):
+    """Whole overridden subtrees go; a flat list keeps its table form."""
+    docs = texts(['{"a":{"b":{"c":1}},"d":[{"x":1,"x":[2]}],"a":5}', '[{"k":1,"k":2},{"k":3}]', '{"a":1}'])
+    nodes = [(r.doc_id, r.depth, r.key, r.kind, r.value, r.children) for r in json_nodes(docs).orderBy("doc_id", "pos").collect()]
+    assert nodes[:6] == [
+        (0, 0, None, "object", None, 2),
+        (0, 1, "a", "number", "5", None),
+        (0, 1, "d", "array", None, 1),
+        (0, 2, None, "object", None, 1),
+        (0, 3, "x", "array", None, 1),
+        (0, 4, None, "number", "2", None),
+    ]
+    blocks = {r.doc_id: r.compact for r in json_compact(docs).collect()}
+    assert blocks[0] == "data:\n  a: 5\n  d[1]:\n    -\n      x[1]:\n        - 2\n"
+    assert blocks[1] == "data[2]{k}:\n  2\n  3\n" and blocks[2] == "data:\n  a: 1\n"
 
 
 def test_breakdown(spark, texts):

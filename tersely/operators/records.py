@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
@@ -27,25 +30,33 @@ def pack_records(
     cols: Sequence[str],
     name: str = form.ROOT_NAME,
     bucket: Column | None = None,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
-    """One compact block per key: ``(keys, block_no, n, block)``.
-
-    With a ``bucket`` every key gives a block for each of its buckets, and
-    ``block_no`` is the bucket, else 0; row counts decide nothing. Each block
-    carries its own header, and no row is left out. A block is one string: use
-    ``pack_lines`` where a key may hold more than a row can.
+    """Compact blocks of each key's rows: ``(keys, block_no, n, block)``.
+
+    Each block carries its own header, no row is left out, and a block is one string.
+    Without ``rows_per_block`` there is one block a key (``block_no`` 0), or one for each
+    ``bucket`` (``block_no`` is the bucket). With it, blocks hold that many rows in order, the
+    last one fewer, numbered from 0; ``bucket``, a whole number that grows with the order,
+    then only deals the work and changes nothing in the result. ``order`` must order the
+    rows of a key totally.
     """
     keys = list(keys)
+    places = [f"_o{n}" for n in range(len(order))]
     rows = df.select(
         *keys,
         (F.lit(0) if bucket is None else bucket).cast("long").alias("block_no"),
-        *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)],
+        *[F.col(c).alias(o) for c, o in zip(order, places)],
         F.concat(form.indent(1), _row_text(cols)).alias("_row"),
     )
-    places = ", ".join(f"_o{n}" for n in range(len(order)))
+    if rows_per_block is not None:
+        if rows_per_block < 1:
+            raise ValueError("rows_per_block must be 1 or more")
+        rows = _row_numbers(rows, keys, "block_no", places)
+        rows = rows.withColumn("block_no", F.expr(f"(_at - 1) div {rows_per_block}"))
     packed = rows.groupBy(*keys, "block_no").agg(
         F.count("*").alias("n"),
-        F.expr(rf"listagg(_row, '\n') WITHIN GROUP (ORDER BY {places})").alias("_body"),
+        F.expr(rf"listagg(_row, '\n') WITHIN GROUP (ORDER BY {', '.join(places)})").alias("_body"),
     )
     return packed.select(
         *keys,
@@ -57,6 +68,24 @@ def pack_records(
     )
 
 
+def _row_numbers(df: DataFrame, keys: list[str], bucket: str, places: list[str]) -> DataFrame:
+    """``df`` with ``_at``, a row's number from 1 in its key: prefix sums of counts, plus its own in its bucket.
+
+    A task holds the rows of a bucket, and one count for each bucket of a key.
+    """
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("_size"))
+    earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    bases = sizes.select(
+        *[F.col(c).alias(f"_k{n}") for n, c in enumerate([*keys, bucket])],
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"),
+    )
+    inside = W.partitionBy(*keys, bucket).orderBy(*places)
+    numbered = df.withColumn("_in_bucket", F.row_number().over(inside))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate([*keys, bucket])]
+    joined = numbered.join(bases, reduce(and_, same))
+    return joined.withColumn("_at", F.col("_base") + F.col("_in_bucket")).select(*df.columns, "_at")
+
+
 def pack_lines(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,14 +1,16 @@
 """Collapse runs of equal log lines over tables of log lines.
 
-A stream of lines is one key. Runs are found inside ``(key, bucket)`` with one
-shuffle; where a bucket is given, the first and last run of every bucket are
-merged with their neighbours in a second, small pass. The runs are the same
-with any bucket and with none.
+A stream of lines is one key. Where a bucket is given, runs are found inside ``(key,
+bucket)`` with one shuffle and one sort; then the first and last run of each bucket, the
+only ones that may go on in a neighbour, are joined in a tree: ``FANOUT`` neighbouring
+buckets become one, their inner runs are finished, and two runs at most are handed on. The
+runs are the same with any bucket and depth, and with no bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from tersely.functions.logs import MIN_RUN, mask_digits, normalise_line, run_marker
 from tersely.functions.text import strip, tokens_of_chars
 
+FANOUT, DEPTH = 1024, 3
+
 
 def line_runs(
     lines: DataFrame,
@@ -24,68 +28,91 @@ def line_runs(
     order: Sequence[str],
     line_col: str = "line",
     bucket: Column | None = None,
+    fanout: int = FANOUT,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """One row per run: keys, ``n``, ``chars``, ``first`` and ``last`` line.
 
     ``order`` must order the lines of a key totally. ``bucket`` maps a row to
-    a bucket that grows with the order and holds few rows, for instance a
-    time slot or ``line_no div 100000``. ``chars`` counts a line end per line.
+    a whole number that grows with the order, for instance a day or ``line_no div
+    100000``; no window holds more than a bucket's lines, or the two runs at the ends of
+    ``fanout`` buckets. The last of ``depth`` levels joins what is left of a key: two rows for
+    each ``fanout ** (depth - 1)`` buckets. ``chars`` counts a line end per line.
     """
     keys, order = list(keys), list(order)
-    filled = lines.filter(strip(F.col(line_col)) != "")
-    part = (F.lit(0) if bucket is None else bucket).cast("long").alias("_part")
-    rows = filled.select(
-        *keys,
-        *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)],
-        F.col(line_col).alias("_line"),
-        normalise_line(F.col(line_col)).alias("_norm"),
-        part,
-    )
     places = [f"_o{n}" for n in range(len(order))]
-    by_order = W.partitionBy(*keys, "_part").orderBy(*places)
-    before = F.lag("_norm").over(by_order)
-    rows = rows.withColumn("_new", F.when(before == F.col("_norm"), 0).otherwise(1))
-    rows = rows.withColumn(
-        "_run", F.sum("_new").over(by_order.rowsBetween(W.unboundedPreceding, 0))
-    )
-    runs = rows.groupBy(*keys, "_part", "_run").agg(
-        F.count("*").alias("n"),
-        F.sum(F.length("_line") + 1).alias("chars"),
-        F.min(F.struct(*places, F.col("_line").alias("line"))).alias("first"),
-        F.max(F.struct(*places, F.col("_line").alias("line"))).alias("last"),
-        F.first("_norm").alias("norm"),
+    line = F.struct(*[F.col(c).alias(o) for c, o in zip(order, places)], F.col(line_col).alias("line"))
+    pieces = lines.filter(strip(F.col(line_col)) != "").select(
+        *keys,
+        (F.lit(0) if bucket is None else bucket).cast("long").alias("_part"),
+        *[F.col(c).alias(o) for c, o in zip(order, places)],
+        F.lit(1).cast("long").alias("n"),
+        (F.length(line_col) + 1).cast("long").alias("chars"),
+        line.alias("first"),
+        line.alias("last"),
+        normalise_line(F.col(line_col)).alias("norm"),
     )
-    if bucket is not None:
-        runs = _merged(runs, keys)
+    found = _joined(pieces, keys, places)
+    finished = []
+    for level in range(depth if bucket is not None else 0):
+        finished.append(found.filter(~F.col("_edge")))
+        group = F.lit(0) if level == depth - 1 else F.expr(f"`_part` div {fanout}")
+        ends = found.filter("_edge").withColumn("_from", F.col("_part"))
+        found = _joined(ends.withColumn("_part", group.cast("long")), keys, places, "_from")
+    runs = reduce(DataFrame.unionByName, [*finished, found])
     named = lambda side: F.struct(
-        *[F.col(f"{side}._o{n}").alias(c) for n, c in enumerate(order)], F.col(f"{side}.line")
+        *[F.col(f"{side}.{o}").alias(c) for c, o in zip(order, places)], F.col(f"{side}.line")
     ).alias(side)
     return runs.select(*keys, "n", "chars", named("first"), named("last"), "norm")
 
 
-def _merged(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Join runs that a bucket border has cut."""
-    inside = W.partitionBy(*keys, "_part")
-    runs = runs.withColumn("_last_run", F.max("_run").over(inside))
-    at_border = (F.col("_run") == 1) | (F.col("_run") == F.col("_last_run"))
-    border = runs.filter(at_border)
-    by_place = W.partitionBy(*keys).orderBy("first")
-    joins = (F.lag("norm").over(by_place) == F.col("norm")) & (
-        F.lag("_part").over(by_place) != F.col("_part")
-    )
-    border = border.withColumn("_new", F.when(joins, 0).otherwise(1))
-    border = border.withColumn(
-        "_chain", F.sum("_new").over(by_place.rowsBetween(W.unboundedPreceding, 0))
+def _joined(pieces: DataFrame, keys: list[str], places: list[str], origin: str | None = None) -> DataFrame:
+    """Neighbouring pieces of one ``norm`` joined within ``(keys, _part)``; one shuffle, one sort.
+
+    With ``origin`` only pieces of different origins are neighbours. ``_edge`` marks the first
+    and the last run of a part.
+    """
+    by_place = W.partitionBy(*keys, "_part").orderBy(*places)
+    so_far = by_place.rowsBetween(W.unboundedPreceding, 0)
+
+    def goes_on(step) -> Column:
+        same = step("norm").over(by_place) == F.col("norm")
+        if origin is not None:
+            same &= step(origin).over(by_place) != F.col(origin)
+        return F.coalesce(same, F.lit(False))
+
+    rows = pieces.select(
+        *keys,
+        "_part",
+        *places,
+        "first",
+        "last",
+        "norm",
+        F.sum("n").over(so_far).alias("_n"),
+        F.sum("chars").over(so_far).alias("_chars"),
+        (F.sum("n").over(so_far) - F.col("n")).alias("_n_before"),
+        (F.sum("chars").over(so_far) - F.col("chars")).alias("_chars_before"),
+        (~goes_on(F.lag)).alias("_starts"),
+        (~goes_on(F.lead)).alias("_ends"),
+        F.lag("norm").over(by_place).isNull().alias("_head"),
+        F.lead("norm").over(by_place).isNull().alias("_tail"),
     )
-    whole = border.groupBy(*keys, "_chain").agg(
-        F.sum("n").alias("n"),
-        F.sum("chars").alias("chars"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        F.first("norm").alias("norm"),
+    # Of each run its first and last piece are left; the first takes over from the last.
+    rows = rows.filter("_starts OR _ends")
+    end = lambda name: F.when(F.col("_ends"), F.col(name)).otherwise(F.lead(name).over(by_place))
+    rows = rows.select(
+        *keys,
+        "_part",
+        *places,
+        "_starts",
+        "first",
+        end("last").alias("last"),
+        "norm",
+        (end("_n") - F.col("_n_before")).alias("n"),
+        (end("_chars") - F.col("_chars_before")).alias("chars"),
+        (F.col("_head") | end("_tail")).alias("_edge"),
     )
-    columns = [*keys, "n", "chars", "first", "last", "norm"]
-    return runs.filter(~at_border).select(*columns).unionByName(whole.select(*columns))
+    return rows.filter("_starts").drop("_starts")
 
 
 def collapse_line_runs(

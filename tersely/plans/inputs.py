@@ -46,9 +46,9 @@ def log_lines(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "ts", "event_type", line.alias("line"))
 
 
-def time_slot() -> Column:
-    """Ten-minute slot of an event: the bucket hot users are split by."""
-    return F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 600)
+def time_slot(seconds: int = 86_400) -> Column:
+    """Slot of time of an event, a day: the bucket hot users are split by."""
+    return F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds)
 
 
 def _listed(count: Column, item) -> Column:

@@ -328,6 +328,14 @@ FROM orders GROUP BY o_custkey""",
        || CASE WHEN event_type = 'view' THEN 'null' ELSE event_type END, chr(10)
        ORDER BY ts, event_id) || chr(10) AS block
 FROM events GROUP BY user_id""",
+    "pack_orders_in_blocks": """WITH numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 100 AS block_no
+  FROM orders)
+SELECT o_orderstatus, block_no, count(*) AS n,
+  'orders[' || count(*) || ']{id,prio}:' || chr(10)
+    || string_agg('  ' || o_orderkey || ',' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10)
+    AS block
+FROM numbered GROUP BY o_orderstatus, block_no""",
     "pack_lineitem_lines": """SELECT l_orderkey, 0 AS part, NULL::INTEGER AS l_linenumber,
   NULL::BIGINT AS l_partkey,
   'items[' || count(*) || ']{l_linenumber,l_partkey,l_returnflag,l_linestatus}:' AS line

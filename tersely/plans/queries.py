@@ -194,6 +194,23 @@ def pack_events_by_user(spark, sf):
     )
 
 
+@query
+def pack_orders_in_blocks(spark, sf):
+    """Blocks of 100 orders for each of three hot keys, dealt by ranges of 500 order keys."""
+    orders = inputs.table(spark, sf, "orders").select(
+        "o_orderstatus", F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prio")
+    )
+    return records.pack_records(
+        orders,
+        ["o_orderstatus"],
+        ["id"],
+        ["id", "prio"],
+        "orders",
+        bucket=F.expr("id div 500"),
+        rows_per_block=100,
+    )
+
+
 @query
 def pack_lineitem_lines(spark, sf):
     items = inputs.table(spark, sf, "lineitem").select(

@@ -57,6 +57,28 @@ def test_one_shuffle_for_runs(log):
     assert "Python" not in plan
 
 
+@pytest.mark.parametrize("fanout, depth", [(2, 1), (2, 2), (2, 9), (3, 4), (1024, 3)])
+def test_runs_are_the_same_for_any_depth(spark, log, fanout, depth):
+    """Runs that go on over many buckets, negative ones and gaps included."""
+    _, df = log
+    shifted = df.withColumn("line_no", F.col("line_no") - 150)
+    plain = runs.line_runs(shifted, ["user"], ["line_no"])
+    tree = runs.line_runs(
+        shifted, ["user"], ["line_no"], bucket=F.floor(F.col("line_no") / 4), fanout=fanout, depth=depth
+    )
+    assert sorted(map(str, tree.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_windows_of_runs_hold_a_bucket(log):
+    """Lines are dealt by key and bucket; by key alone only the ends the last level joins."""
+    _, df = log
+    tree = runs.line_runs(df, ["user"], ["line_no"], bucket=F.floor(F.col("line_no") / 50), depth=3)
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert sum("_part" not in columns for columns in dealt) == 1
+    assert len(set(dealt)) > 1
+
+
 def test_pack_records(spark):
     df = spark.createDataFrame(
         [(1, 2, "a,b"), (1, 1, None), (1, 3, "x\\y\nz"), (2, 1, "q")], "k int, id int, v string"
@@ -68,6 +90,21 @@ def test_pack_records(spark):
     )
     blocks = sorted((r.k, r.block_no, r.n) for r in split.collect())
     assert blocks == [(1, 0, 1), (1, 1, 2), (2, 0, 1)]
+    for by in (None, F.floor(F.col("id") / 2), F.col("id")):
+        for size in (1, 2, 3, 10):
+            cut = records.pack_records(df, ["k"], ["id"], ["id", "v"], "rows", by, rows_per_block=size)
+            ids = [(1, "1,null"), (1, "2,a\\,b"), (1, "3,x\\\\y\\nz"), (2, "1,q")]
+            expected = set()
+            for k in (1, 2):
+                own = [text for key, text in ids if key == k]
+                for no, at in enumerate(range(0, len(own), size)):
+                    part = own[at : at + size]
+                    body = "".join(f"  {text}\n" for text in part)
+                    expected.add((k, no, len(part), f"rows[{len(part)}]{{id,v}}:\n{body}"))
+            assert {tuple(r) for r in cut.collect()} == expected
+    no_key = spark.createDataFrame([(None, 1), (None, 2), (None, 3)], "k int, id int")
+    cut = records.pack_records(no_key, ["k"], ["id"], ["id"], "rows", F.col("id"), rows_per_block=2)
+    assert sorted((r.block_no, r.n) for r in cut.collect()) == [(0, 2), (1, 1)]
     lines = records.pack_lines(df, ["k"], ["id"], ["id", "v"], "rows")
     ordered = [r.line for r in lines.filter("k = 1").orderBy("part", "id").collect()]
     assert "\n".join(ordered) + "\n" == packed[1].block

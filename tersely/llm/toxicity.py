@@ -10,7 +10,7 @@ Training is rounds over shards of a sample: every shard starts from the common s
 its rows once in the order of their hashes, and the sums of all shards are averaged for the
 next round. A shard is a stream of rows, so a task holds the sums and one slice of text. What
 is left after the last round, the weights that are not 0, is small and is broadcast to score
-all documents. A line fitted to margins of sample rows that no shard has seen (Platt's
+all documents; until then the sums lie in the shared folder and not on the driver. A line fitted to margins of sample rows that no shard has seen (Platt's
 method) turns margins into probabilities.
 
 The sample holds ``train_docs`` labelled documents on average, those with the smallest hashes;
@@ -31,10 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersely.llm.common import NOT_LETTERS, U64, hashed_words, mixed, slices, text_key, texts_of, written
+from tersely.plans.inputs import scratch
 
 BITS = 20
 DIMENSIONS = 1 << BITS
@@ -55,11 +58,6 @@ class Model:
     slope: float
     shift: float
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros(DIMENSIONS + 1)
-        out[self.places] = self.weights
-        return out
-
 
 def held_out(id_col: str = "doc_id") -> Column:
     """True for ids that labels are never learnt from: crc32 of the id as text, modulo 5, is 0."""
@@ -132,43 +130,62 @@ def sample(docs: DataFrame, labels: DataFrame, train_docs: int, id_col: str, tex
     )
 
 
-def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The averaged sums after every shard has passed its rows once, from ``z`` and ``n``."""
-    start = rows.sparkSession.sparkContext.broadcast((z, n))
+def stored_sums(folder: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """z and n, averaged over the shards that wrote to ``folder``; zeros without one."""
+    sums = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
+    if folder is None:
+        return sums
+    store, root = pafs.FileSystem.from_uri(folder)
+    table = ds.dataset(root, filesystem=store, format="parquet").to_table(["shard", "z", "n"])
+    for row in table.sort_by("shard").to_pylist():
+        for total, name in zip(sums, "zn"):
+            total += np.frombuffer(row[name], "<f4")
+    return sums[0] / table.num_rows, sums[1] / table.num_rows
+
+
+def one_round(rows: DataFrame, folder: str | None) -> str:
+    """Folder of the sums of every shard after it has passed its rows once, from those of ``folder``."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def state(shard: int, z: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            changed = np.flatnonzero(n)
-            columns = [changed.astype("<i4"), z[changed].astype("<f4"), n[changed].astype("<f4")]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)],
-                names=["shard", "places", "z", "n"],
-            )
+        def state(shard: int, *sums: np.ndarray) -> pa.RecordBatch:
+            packed = [pa.array([a.astype("<f4").tobytes()], pa.binary()) for a in sums]
+            return pa.RecordBatch.from_arrays([pa.array([shard]), *packed], names=["shard", "z", "n"])
 
         at, z, n = None, None, None
         for batch in slices(batches, "text"):
-            shards, toxic = batch.column("shard").to_pylist(), batch.column("toxic").to_pylist()
+            numbers, toxic = batch.column("shard").to_pylist(), batch.column("toxic").to_pylist()
             rows, places = features(texts_of(batch, "text"))
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            for i, shard in enumerate(shards):
+            for i, shard in enumerate(numbers):
                 if shard != at:
                     if at is not None:
                         yield state(at, z, n)
-                    at, (z, n) = shard, (a.astype(np.float64) for a in start.value)
+                    at, (z, n) = shard, stored_sums(folder)
                 learn(z, n, places[bounds[i] : bounds[i + 1]], toxic[i])
         if at is not None:
             yield state(at, z, n)
 
-    dealt = rows.where("shard >= 0").repartition(SHARDS, "shard").sortWithinPartitions("shard", "place")
-    states = dealt.mapInArrow(passed, "shard int, places binary, z binary, n binary").collect()
-    sums = [np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)]
-    for row in sorted(states, key=lambda r: r.shard):
-        places = np.frombuffer(row.places, "<i4")
-        for total, part in zip(sums, (row.z, row.n)):
-            total[places] += np.frombuffer(part, "<f4")
-    start.destroy()
-    count = max(len(states), 1)
-    return sums[0] / count, sums[1] / count
+    dealt = rows.where("shard >= 0").repartitionById(SHARDS, F.col("shard")).sortWithinPartitions("shard", "place")
+    out = scratch(rows.sparkSession, "toxicity-sums")
+    dealt.mapInArrow(passed, "shard long, z binary, n binary").write.parquet(out)
+    return out
+
+
+def learnt(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and weights that are not 0 after all rounds over ``rows``."""
+    folder = None
+    for _ in range(ROUNDS):
+        folder = one_round(rows, folder)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            weight = weights_of(*stored_sums(folder))
+            places = np.flatnonzero(weight)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(weight[places])], names=["place", "weight"])
+
+    one = rows.sparkSession.range(1, numPartitions=1)
+    found = one.mapInArrow(weights, "place long, weight double").toArrow().sort_by("place")
+    return found["place"].to_numpy().astype(np.int32), found["weight"].to_numpy()
 
 
 def margins(rows: DataFrame, keep: list[str], model: Model) -> DataFrame:
@@ -219,18 +236,16 @@ def train(
 ) -> Model | None:
     """The weights learnt from a bounded sample of labelled documents; None without any.
 
-    The driver gets two sums for each coordinate and shard, and a number for each
-    calibration row: both bounded by constants.
+    The sums stay in the shared folder; the driver gets the weights that are not 0 and a
+    number for each calibration row, both bounded by constants.
     """
     rows = written(sample(docs, labels, train_docs, id_col, text_col, label_col), "toxicity-sample")
     if rows.isEmpty():
         return None
-    z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
-    for _ in range(ROUNDS):
-        z, n = one_round(rows, z, n)
-    weights = weights_of(z, n)
-    places = np.flatnonzero(weights)
-    model = Model(places.astype(np.int32), weights[places], 1.0, 0.0)
+    places, weights = np.zeros(0, np.int32), np.zeros(0)
+    if not rows.where("shard >= 0").isEmpty():
+        places, weights = learnt(rows)
+    model = Model(places, weights, 1.0, 0.0)
     unseen = margins(rows.where("shard < 0"), ["toxic", "place"], model).collect()
     unseen.sort(key=lambda r: r.place)
     slope, shift = platt(np.array([r.margin for r in unseen]), np.array([r.toxic for r in unseen]))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tersely.plans.inputs import scratch
-from tersely.session import checkpoint_dir
 
 SLICE_BYTES = 1_500_000
 U64 = np.uint64
@@ -22,24 +22,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir, with its lineage cut.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_noting: list[list[str]] = []
 
-    A session that names no such folder gets a local one only if its master is local.
-    """
+
+def folder(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new scratch folder; ``temporary`` blocks delete those made inside, the innermost not ``kept`` ones."""
+    path = scratch(spark, name)
+    for noted in _noting[: -1 if kept else None]:
+        noted.append(path)
+    return path
+
+
+def discard(folders: list[str]) -> None:
+    """Delete scratch folders of which nothing is read any more."""
+    for path in folders:
+        store, root = pafs.FileSystem.from_uri(path)
+        if store.get_file_info(root).type == pafs.FileType.Directory:
+            store.delete_dir(root)
+    folders.clear()
+
+
+@contextmanager
+def noted(into: list[str]) -> Iterator[list[str]]:
+    """Add the scratch folders made inside to a list."""
+    _noting.append(into)
+    try:
+        yield into
+    finally:
+        _noting[:] = [held for held in _noting if held is not into]
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Delete the scratch folders made inside at the end, but for tables written with ``kept``."""
+    with noted([]) as made:
+        try:
+            yield
+        finally:
+            discard(made)
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each has ended."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the cluster's shared folder: its lineage is cut, its shuffles are gone."""
     spark = df.sparkSession
-    if checkpoint_dir(spark) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the cluster's shared folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = folder(spark, name, kept)
+    with shuffles_released(spark):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def placed(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

@@ -16,8 +16,9 @@ are confirmed on full sets.
 Words are runs other than space and U+0009 to U+000D with A-Z lowered. Texts of fewer
 words than a shingle are one shingle; null texts and texts without words have none and
 are linked with nothing. Shingles are compared by 64-bit hash. A document id stands for
-one node: rows that share it share its component. Rows without an id join their class,
-and stand alone where it has no id.
+one node: rows that share it share its component. Rows without an id take part under a
+number made from their text; their component is the smallest id in it, null if there is
+none, and then one of its texts is kept.
 """
 
 from __future__ import annotations
@@ -32,14 +33,16 @@ from pyspark.sql import functions as F
 from tersely.llm.common import (
     U64,
     breaks,
-    checkpointed,
     hashed_words,
     mixed,
     ragged,
     rolling,
+    shuffles_released,
     slices,
+    temporary,
     text_key,
     texts_of,
+    written,
 )
 from tersely.llm.components import components
 
@@ -53,7 +56,8 @@ _seeds = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U64) * U64(0xD1342543DE8
 TIMES, PLUS = _seeds[:PERMUTATIONS] | U64(1), _seeds[PERMUTATIONS:]
 
 FEATURES = (
-    "doc_id long, doc_key long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
+    "doc_id long, doc_key long, has_id boolean, n_shingles long, set1 long, set2 long, "
+    "bands array<long>, sketch binary"
 )
 
 
@@ -117,12 +121,13 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
                 [
                     part.column(0),
                     part.column(1),
+                    part.column(2),
                     pa.array(sizes, pa.int64()),
                     *(pa.array(d.view(np.int64), mask=none) for d in digests),
                     bands,
                     pa.array(sketches, pa.binary()),
                 ],
-                names=["doc_id", "doc_key", "n_shingles", "set1", "set2", "bands", "sketch"],
+                names=["doc_id", "doc_key", "has_id", "n_shingles", "set1", "set2", "bands", "sketch"],
             )
 
     return docs.mapInArrow(make, FEATURES)
@@ -364,32 +369,70 @@ def near_copies(
     Texts are linked if their shingle sets share ``percent`` of their union;
     ``component_id`` is the smallest id reachable and ``kept`` marks that document.
     """
+    own_id, doc_key = F.col(id_col).cast("long"), text_key(text_col)
     narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        text_key(text_col).alias("doc_key"),
+        # Rows without an id take part under a number made from their text.
+        F.coalesce(own_id, doc_key).alias("doc_id"),
+        doc_key.alias("doc_key"),
+        own_id.isNotNull().alias("has_id"),
         F.col(text_col).alias("text"),
     )
-    made = checkpointed(features(narrow, shingle))
+    made = written(features(narrow, shingle), "near-features")
     filled = made.where("n_shingles > 0")
-    classes = (
-        filled.groupBy("set1", "set2", "n_shingles")
-        .agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .where("class_id IS NOT NULL")
+    classes = filled.groupBy("set1", "set2", "n_shingles").agg(
+        F.min("doc_id").alias("class_id"),
+        F.min(F.when(F.col("has_id"), F.col("doc_id"))).alias("real"),
+        F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
+    with temporary():
+        labels = written(linked_classes(narrow, classes, shingle, percent), "near-labels", kept=True)
+    of_class = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
+        "set1", "set2", F.coalesce("label", "class_id").alias("component"), "real"
+    )
+    rows = made.join(of_class, ["set1", "set2"], "left").withColumn(
+        # an id that has several sets is one node: its component is the least of theirs
+        "component", F.coalesce("component", "doc_id")
+    )
+    with shuffles_released(docs.sparkSession):
+        all_known = made.where("NOT has_id").isEmpty()
+    if all_known:
+        least = rows.withColumn("least", F.col("component"))
+    else:
+        # A number made from a text is no id: the smallest real one of the component counts.
+        real = of_class.groupBy("component").agg(F.min("real").alias("least"))
+        least = rows.join(real, "component", "left").withColumn(
+            "least", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.when(F.col("has_id"), F.col("doc_id")))
+        )
+    own = F.when(F.col("has_id"), F.col("doc_id"))
+    # Without any id, the text under whose number the component goes stays, and every empty one.
+    unnamed = F.col("least").isNull() & (F.col("doc_id") == F.col("component"))
+    return least.select(
+        own.alias("doc_id"),
+        "doc_key",
+        "n_shingles",
+        F.col("least").alias("component_id"),
+        F.coalesce(own == F.col("least"), unnamed).alias("kept"),
+    )
+
+
+def linked_classes(narrow: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, label: the component of every class that is linked with another one."""
     members = classes.select("class_id", "n_shingles", F.explode("bands").alias("band"))
     several = (
         members.groupBy("band")
         .agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
         .where("low < high")
     )
-    shared = checkpointed(members.join(several.select("band", "low"), "band"))
+    shared = written(members.join(several.select("band", "low"), "band"), "near-buckets")
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
-    sets = checkpointed(packed_sets(narrow.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle))
+    chosen = narrow.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = written(packed_sets(chosen, shingle), "near-sets")
 
     labels, links = None, None
     for turn in range(ROUNDS):
-        asked = checkpointed(hub_pairs(labelled(shared, labels), turn, percent))
-        found = checkpointed(confirmed(asked, sets, percent))
+        asked = written(hub_pairs(labelled(shared, labels), turn, percent), "near-pairs")
+        found = written(confirmed(asked, sets, percent), "near-links")
         links = found if links is None else links.union(found)
         n_asked, n_found = asked.count(), found.count()
         if n_found:
@@ -397,17 +440,5 @@ def near_copies(
         if n_found <= n_asked * FEW:
             break
     sketches = classes.select("class_id", "sketch").join(homes(shared), "class_id")
-    cells = checkpointed(apart(labelled(shared, labels), sketches))
-    labels = components(links.union(confirmed_in_cells(cells, sets, percent)))
-    of_class = classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
-        "set1", "set2", F.coalesce("label", "class_id").alias("component")
-    )
-    # an id that has several sets is one node: its component is the least of theirs
-    component = F.coalesce("component", "doc_id")
-    return made.join(of_class, ["set1", "set2"], "left").select(
-        "doc_id",
-        "doc_key",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"),
-    )
+    cells = written(apart(labelled(shared, labels), sketches), "near-cells")
+    return components(links.union(confirmed_in_cells(cells, sets, percent)))

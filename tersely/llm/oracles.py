@@ -149,7 +149,7 @@ TOP_K = """
 WITH vectors AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE len(embedding) > 0 AND vec_id IS NOT NULL
+  WHERE vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 scores AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +111,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars",
         F.round("score", 6).alias("score"),
         F.round("threshold", 6).alias("threshold"),
+        F.round("toxic_score", 6).alias("toxic_score"),
+        F.round("toxic_threshold", 6).alias("toxic_threshold"),
         "kept",
     )
 
@@ -161,6 +162,3 @@ QUERIES = {
         op13_toxicity,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tersely.llm.bpe import byte_letters
+from tersely.llm.common import folder as scratch_folder
 from tersely.llm.common import slices, texts_of
-from tersely.plans.inputs import scratch
 
 #: White space as the vocabularies' patterns take it (fixed value).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -230,14 +230,15 @@ def read_token_files(manifest: DataFrame, folder: str, id_bytes: int) -> DataFra
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.repartitionByRange("part")
-    return spread.mapInArrow(read, PLACES)
+    # A task for each part: left to its size in bytes, so small a table would be one task.
+    parts = max(1, manifest.count())
+    return manifest.repartitionById(parts, F.col("part").cast("int")).mapInArrow(read, PLACES)
 
 
 def token_places(
     spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None
 ) -> DataFrame:
     """Write ``docs`` as token files and read every document's place and checksum back."""
-    folder = folder or scratch(spark, "token-files")
+    folder = folder or scratch_folder(spark, "token-files")
     manifest = write_token_files(docs, folder, vocabulary, end_id)
     return read_token_files(manifest, folder, encoder(vocabulary).kind.itemsize)

@@ -1,24 +1,28 @@
 """Exact top-k search by columnar branch and bound.
 
-Vectors are packed into blocks of dimension-major matrices. Query blocks meet candidate
-blocks; in a pair of blocks the scores are accumulated one block of dimensions after
-the other. After each, Cauchy-Schwarz bounds a candidate's final score by its partial
-score plus the product of the norms of what remains of query and candidate; candidates
-below the query's k-th best score so far are dropped and the rest are compacted, so
-later dimensions touch ever fewer columns. Each pair of blocks gives k rows for a query;
-the k best of them all are ranked per query, with a first cut before the shuffle.
-
-Components are scaled and floored to integers, so scores are exact: matrices are 32-bit
-floats where every partial sum is below 2**24, else 64-bit floats below 2**53, else
-Python integers. Bounds are rounded up.
+Vectors are packed into blocks of dimension-major matrices. Blocks of queries lie in the
+shared folder; a task holds some blocks of candidates and reads the queries block by
+block, so no vector is shuffled. In a pair of blocks the scores are accumulated one block
+of dimensions after the other. After each, Cauchy-Schwarz bounds a candidate's final score
+by its partial score plus the product of the norms of what remains of query and
+candidate; candidates below the query's k-th best score so far, in this block or in those
+before, are dropped and the rest are compacted, so later dimensions touch ever fewer
+columns. Each task gives k rows for a query and group of blocks; the k best of them all are
+ranked per query, with a first cut before the shuffle.
+
+Components are scaled and floored to integers, so scores are exact: blocks are 32-bit
+floats where every component is below 2**24 in size, else 64-bit ones; products are 32-bit
+floats where every partial sum is below 2**24, else 64-bit floats below 2**53, else Python
+integers. Bounds are rounded up. A best score that does not fit 64 bits ends the job with an
+error that names its two ids.
 
 The queries are a stated set, which meets all rows in blocks; blocks are of fixed size,
 so the number of pairs follows the work and not the memory. A third of all vectors may
 be equal: they only tie, and ties go to the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part; shorter ones
-count as filled up with zeros. Every other row is a candidate, also rows that repeat an
-id, but none with the query's own id. Equal query rows give one list. Rows without an
+count as filled up with zeros, empty ones with zeros alone. Every other row is a candidate, also rows that
+repeat an id, but none with the query's own id. Equal query rows give one list. Rows without an
 id take no part.
 """
 
@@ -28,40 +32,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersely.llm.common import checkpointed
+from tersely.llm.common import folder as scratch_folder
+from tersely.llm.common import shuffles_released, written
 
-CANDIDATES, QUERIES, DIMENSIONS = 4096, 1024, 16
-BLOCK = "block long, n long, dims long, ids binary, columns binary"
+CANDIDATES, QUERIES, DIMENSIONS, HELD = 4096, 1024, 16, 16
+BLOCK = "n long, dims long, width int, ids binary, columns binary"
+INT64 = 2**63
 
 
-def packed(vectors: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to ``size`` vectors (vec_id, v); a matrix holds one dimension after the other."""
+def packed(vectors: DataFrame, size: int, scale: float) -> DataFrame:
+    """Blocks of up to ``size`` vectors (vec_id, v), floored; a matrix holds one dimension after the other."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-
         def block(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-            nonlocal made
             whole = pa.Table.from_batches(tables).combine_chunks()
             ids = whole.column(0).to_numpy().astype("<i8")
             lists = whole.column(1).combine_chunks()
             lengths = np.diff(lists.offsets.to_numpy())
             dims = int(lengths.max())
             matrix = np.zeros((len(ids), dims))
-            matrix[np.arange(dims) < lengths[:, None]] = lists.flatten().to_numpy()
-            row = (TaskContext.get().partitionId() << 32 | made, len(ids), dims)
-            made += 1
+            matrix[np.arange(dims) < lengths[:, None]] = np.floor(lists.flatten().to_numpy() * scale)
+            if not np.isfinite(matrix).all():
+                first = int(np.flatnonzero(~np.isfinite(matrix).all(axis=1))[0])
+                raise ValueError(f"scaled components of vector {ids[first]} are too large for 64-bit floats")
+            width = 4 if np.abs(matrix).max(initial=0) < 2**24 else 8
+            columns = np.ascontiguousarray(matrix.T, dtype=f"<f{width}")
             return pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array([x], pa.int64()) for x in row),
+                    *(pa.array([x], pa.int64()) for x in (len(ids), dims)),
+                    pa.array([width], pa.int32()),
                     pa.array([ids.tobytes()], pa.binary()),
-                    pa.array([np.ascontiguousarray(matrix.T).tobytes()], pa.binary()),
+                    pa.array([columns.tobytes()], pa.binary()),
                 ],
-                names=["block", "n", "dims", "ids", "columns"],
+                names=["n", "dims", "width", "ids", "columns"],
             )
 
         held: list[pa.RecordBatch] = []
@@ -79,6 +87,12 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(pack, BLOCK)
 
 
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of a block."""
+    columns = np.frombuffer(row["columns"], f"<f{row['width']}").reshape(row["dims"], row["n"])
+    return np.frombuffer(row["ids"], "<i8"), columns.astype(np.float64)
+
+
 def remaining(columns: np.ndarray, step: int) -> list[np.ndarray]:
     """Norms of what is left of each vector after each block of dimensions."""
     left = [np.sqrt(np.square(columns[d:]).sum(axis=0)) for d in range(0, len(columns), step)]
@@ -86,9 +100,18 @@ def remaining(columns: np.ndarray, step: int) -> list[np.ndarray]:
 
 
 def search(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    columns: np.ndarray,
+    k: int,
+    reached: list[float] | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and scores of its best candidates, k of them or all."""
+    """For each query the places and scores of its best candidates, k of them or all.
+
+    ``reached`` holds for each query a score that k candidates of other blocks reach;
+    candidates below it may be left out.
+    """
     dims = min(len(queries), len(columns))
     queries, columns = queries[:dims], columns[:dims]
     largest = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(columns).max(initial=0))
@@ -116,6 +139,7 @@ def search(
             rest = left[block][q] * right[block][alive] * (1 + 1e-6) + 1e-3
             # the k-th best lower bound is a score that k candidates reach
             bar = np.partition(score - rest, len(score) - k)[len(score) - k]
+            bar = bar if reached is None else max(bar, reached[q])
             stay = score + rest >= bar
             alive, score = alive[stay], score[stay]
         if len(alive) > k and kind is not object:
@@ -125,16 +149,40 @@ def search(
         yield alive[order], score[order]
 
 
-def floored(vector: Column, scale: float) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-
-
 def finite(vector: Column) -> Column:
     good = F.forall(
         vector,
         lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")),
     )
-    return vector.isNotNull() & (F.size(vector) > 0) & good
+    return vector.isNotNull() & good
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
+def searched(
+    asked: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, np.ndarray]], k: int
+) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """Each query of a block with the ids and scores of its k best in all of ``blocks``."""
+    query_ids, queries = asked
+    best = [(np.zeros(0, np.int64), np.zeros(0, object))] * len(query_ids)
+    reached = [-np.inf] * len(query_ids)
+    for ids, columns in blocks:
+        for q, (at, scores) in enumerate(search(query_ids, queries, ids, columns, k, reached)):
+            exact = np.array([int(v) for v in scores], dtype=object)
+            best[q] = best_of(np.append(best[q][0], ids[at]), np.append(best[q][1], exact), k)
+            if len(best[q][0]) == k and abs(best[q][1][-1]) < INT64:
+                # Rounded down, so that a tie is never left out.
+                lowest = float(best[q][1][-1])
+                reached[q] = lowest - abs(lowest) * 1e-9 - 1
+    for query, (ids, scores) in zip(query_ids.tolist(), best):
+        for vec_id, score in zip(ids.tolist(), scores):
+            if not -INT64 <= score < INT64:
+                raise ValueError(f"score of query {query} and vector {vec_id} does not fit 64 bits")
+        yield query, ids, scores.tolist()
 
 
 def top_k(
@@ -151,60 +199,47 @@ def top_k(
     """
     spark = vectors.sparkSession
     chosen = vectors.where(finite(F.col(vector_col)) & F.col(id_col).isNotNull())
-    columns = [F.col(id_col).cast("long").alias("vec_id"), floored(F.col(vector_col), scale).alias("v")]
-    candidates = checkpointed(packed(chosen.select(*columns), CANDIDATES))
-    asked = chosen.where(queries).select(*columns).dropDuplicates()
-    query_blocks = checkpointed(packed(asked, QUERIES))
-    numbers = [row.block for row in query_blocks.select("block").collect()]  # one for each block
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("block"), F.lit(salts))
-    left = candidates.select(
-        F.explode(F.array(*map(F.lit, numbers)).cast("array<long>")).alias("query_block"),
-        salt.alias("salt"),
-        "block",
-        "ids",
-        F.struct("n", "dims").alias("shape"),
-        "columns",
-    )
-    right = query_blocks.select(
-        F.col("block").alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"),
-        F.struct("n", "dims").alias("query_shape"),
-        F.col("ids").alias("query_ids"),
-        F.col("columns").alias("queries"),
-    )
-    pairs = left.join(right, ["query_block", "salt"])
+    as_doubles = F.transform(vector_col, lambda x: x.cast("double")).alias("v")
+    columns = [F.col(id_col).cast("long").alias("vec_id"), as_doubles]
+    candidates = written(packed(chosen.select(*columns), CANDIDATES, scale), "top-k-candidates")
+    query_files = scratch_folder(spark, "top-k-queries")
+    asked = packed(chosen.where(queries).select(*columns).dropDuplicates(), QUERIES, scale)
+    with shuffles_released(spark):
+        asked.write.parquet(query_files)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(blob: bytes, shape: dict) -> np.ndarray:
-            return np.frombuffer(blob, "<f8").reshape(shape["dims"], shape["n"])
-
+        store, root = pafs.FileSystem.from_uri(query_files)
+
+        def against(blocks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            names = ["n", "dims", "width", "ids", "columns"]
+            files = ds.dataset(root, filesystem=store, format="parquet")
+            for batch in files.to_batches(names, batch_size=1):
+                for row in batch.to_pylist():
+                    asks, places, scores = [], [], []
+                    for query, ids, values in searched(unpacked(row), blocks, k):
+                        asks.append(np.full(len(ids), query))
+                        places.append(ids)
+                        scores += values
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate(asks), pa.int64()),
+                            pa.array(np.concatenate(places), pa.int64()),
+                            pa.array(scores, pa.int64()),
+                        ],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                ids, query_ids = (np.frombuffer(row[c], "<i8") for c in ("ids", "query_ids"))
-                asks, places, scores = [], [], []
-                found = search(
-                    query_ids,
-                    matrix(row["queries"], row["query_shape"]),
-                    ids,
-                    matrix(row["columns"], row["shape"]),
-                    k,
-                )
-                for q, (at, values) in enumerate(found):
-                    asks.append(np.full(len(at), query_ids[q]))
-                    places.append(ids[at])
-                    scores += [int(v) for v in values]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(asks), pa.int64()),
-                        pa.array(np.concatenate(places), pa.int64()),
-                        pa.array(scores, pa.int64()),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
+            for row in batch.to_pylist():
+                held.append(unpacked(row))
+                if len(held) == HELD:
+                    yield from against(held)
+                    held = []
+        if held:
+            yield from against(held)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+    scored = candidates.mapInArrow(score, "query_id long, vec_id long, score long")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

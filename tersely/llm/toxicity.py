@@ -36,8 +36,19 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import NOT_LETTERS, U64, hashed_words, mixed, slices, text_key, texts_of, written
-from tersely.plans.inputs import scratch
+from tersely.llm.common import (
+    NOT_LETTERS,
+    U64,
+    hashed_words,
+    mixed,
+    shuffles_released,
+    slices,
+    temporary,
+    text_key,
+    texts_of,
+    written,
+)
+from tersely.llm.common import folder as scratch_folder
 
 BITS = 20
 DIMENSIONS = 1 << BITS
@@ -166,8 +177,9 @@ def one_round(rows: DataFrame, folder: str | None) -> str:
             yield state(at, z, n)
 
     dealt = rows.where("shard >= 0").repartitionById(SHARDS, F.col("shard")).sortWithinPartitions("shard", "place")
-    out = scratch(rows.sparkSession, "toxicity-sums")
-    dealt.mapInArrow(passed, "shard long, z binary, n binary").write.parquet(out)
+    out = scratch_folder(rows.sparkSession, "toxicity-sums")
+    with shuffles_released(rows.sparkSession):
+        dealt.mapInArrow(passed, "shard long, z binary, n binary").write.parquet(out)
     return out
 
 
@@ -239,17 +251,18 @@ def train(
     The sums stay in the shared folder; the driver gets the weights that are not 0 and a
     number for each calibration row, both bounded by constants.
     """
-    rows = written(sample(docs, labels, train_docs, id_col, text_col, label_col), "toxicity-sample")
-    if rows.isEmpty():
-        return None
-    places, weights = np.zeros(0, np.int32), np.zeros(0)
-    if not rows.where("shard >= 0").isEmpty():
-        places, weights = learnt(rows)
-    model = Model(places, weights, 1.0, 0.0)
-    unseen = margins(rows.where("shard < 0"), ["toxic", "place"], model).collect()
+    with temporary():
+        rows = written(sample(docs, labels, train_docs, id_col, text_col, label_col), "toxicity-sample")
+        if rows.isEmpty():
+            return None
+        places, weights = np.zeros(0, np.int32), np.zeros(0)
+        if not rows.where("shard >= 0").isEmpty():
+            places, weights = learnt(rows)
+        model = Model(places, weights, 1.0, 0.0)
+        unseen = margins(rows.where("shard < 0"), ["toxic", "place"], model).collect()
     unseen.sort(key=lambda r: r.place)
     slope, shift = platt(np.array([r.margin for r in unseen]), np.array([r.toxic for r in unseen]))
-    return Model(model.places, model.weights, slope, shift)
+    return Model(places, weights, slope, shift)
 
 
 def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,6 +29,7 @@ from tersely.llm import (
     top_k,
     url_rules,
 )
+from tersely.llm.common import text_key
 from tersely.llm.components import components
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -205,7 +206,7 @@ def test_top_k(spark):
     df = spark.createDataFrame(
         [(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, score int, rank double"
     )
-    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     ints = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (24 - len(v))) for i, v in good]
     expected = []
     for query, q in {(i, tuple(v)) for i, v in ints if i % 20 == 0}:
@@ -216,6 +217,36 @@ def test_top_k(spark):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Blocks and groups of blocks of few vectors, all equal ones and empty ones among them."""
+    for name, size in (("CANDIDATES", 7), ("QUERIES", 3), ("HELD", 2)):
+        monkeypatch.setattr(top_k, name, size)
+    pick = np.random.default_rng(3)
+    rows = [(n, [float(x) for x in pick.normal(size=40)]) for n in range(80)]
+    rows += [(n, [1.0] * 40) for n in range(80, 120)] + [(n, []) for n in range(120, 130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    ints = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (40 - len(v))) for i, v in rows]
+    expected = []
+    for query, q in ((i, v) for i, v in ints if i % 10 == 0):
+        found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in ints if i != query)[:5]
+        expected += [(query, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert counted(top_k.top_k(df, F.col("vec_id") % 10 == 0, k=5).collect()) == counted(expected)
+
+
+def test_top_k_of_huge_components(spark):
+    """Exact as long as scores fit 64 bits, else an error that names the ids."""
+    schema = "vec_id long, embedding array<double>"
+    fits = spark.createDataFrame([(0, [2.0**30, 1.0]), (1, [2.0**20 + 1, 3.0]), (3, [-(2.0**20), 0.5])], schema)
+    got = top_k.top_k(fits, F.col("vec_id") == 0, k=2).collect()
+    assert [(r.vec_id, r.score) for r in got] == [
+        (1, 2**36 * 64 * (2**20 + 1) + 64 * 192), (3, -(2**36) * 2**26 + 64 * 32)
+    ]
+    for huge in (1e19, 1e300, 1e307):
+        broken = spark.createDataFrame([(20, [huge, 1.0]), (41, [huge, 2.0])], schema)
+        with pytest.raises(Exception, match="20|41"):
+            top_k.top_k(broken, F.col("vec_id") == 20).collect()
+
+
 def test_top_k_beyond_floating_point():
     ids = np.arange(4)
     columns = np.array([[2.0**30, 2.0**30, 2.0**30 + 1, 3.0]])
@@ -401,8 +432,6 @@ def brute_near(rows, size, percent):
 
     for x in range(len(rows)):
         for y in range(x):
-            if rows[x][0] is None and rows[y][0] is None and sets[x] != sets[y]:
-                continue
             both = len(sets[x] & sets[y])
             same_id = rows[x][0] is not None and rows[x][0] == rows[y][0] and sets[x] and sets[y]
             if both and 100 * both >= percent * len(sets[x] | sets[y]) or same_id:
@@ -433,6 +462,23 @@ def test_near_copies(spark):
     assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    """Near copies are linked whether or not their rows have ids; one of each group stays."""
+    words = [f"w{n}" for n in range(60)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (5, 25, 45)]
+    apart = " ".join(f"z{n}" for n in range(40))
+    rows = [(None, text) for text in [*near, near[0], apart]] + [(7, " ".join(words[30:] * 2)), (None, " ".join(words[30:] * 2))]
+    got = near_copies.near_copies(made_docs(spark, rows), shingle=3, percent=80)
+    kept = {row.doc_key for row in got.where("kept").collect()}
+    found = {row.text: row.key for row in made_docs(spark, rows).select("text", text_key().alias("key")).collect()}
+    assert len(kept & {found[t] for t in near}) == 1 and found[apart] in kept
+    named = [(r.doc_id, r.component_id, r.kept) for r in got.where(F.col("doc_key") == found[rows[-1][1]]).collect()]
+    assert sorted(named, key=str) == [(7, 7, True), (None, 7, False)]
+    again = near_copies.near_copies(made_docs(spark, [(100 + n, t) for n, t in enumerate(near)] + rows), shingle=3, percent=80)
+    least = {row.component_id for row in again.collect() if row.doc_key in {found[t] for t in near}}
+    assert least == {100}
+
+
 def test_components_of_a_long_chain(spark):
     links = [(n, n + 1) for n in range(100, 160)] + [(5, 9), (9, 7), (9, 9)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -8,12 +8,15 @@ empty table passes through as one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tersely.llm import bpe, decontaminate, near_copies, pii, quality
-from tersely.llm.common import table, text_key, written
+from tersely.llm.common import CLEANUP, discard, noted, table, text_key, written
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHINGLE, PERCENT, WINDOW = 5, 80, 13
@@ -56,12 +59,31 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, VOCABULARY)
 
 
+#: Scratch folders of the stage that ran last.
+_left: list[str] = []
+
+
+def _released(stage: Callable) -> Callable:
+    """``stage``, which first deletes what the stage before has left."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(CLEANUP, "true")
+        files = docs.inputFiles()
+        if not any(folder in file for folder in _left for file in files):
+            discard(_left)
+        with noted(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", good_quality),
-    ("near_copies", one_of_each),
-    ("decontaminate", no_test_passages),
-    ("pii", masked),
-    ("bpe", encoded),
+    ("quality", _released(good_quality)),
+    ("near_copies", _released(one_of_each)),
+    ("decontaminate", _released(no_test_passages)),
+    ("pii", _released(masked)),
+    ("bpe", _released(encoded)),
 ]
 
 #: SQL cannot express the classifier or the encoder.
@@ -70,7 +92,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        result = stage(spark, docs, sf_dir)
+        with noted([]) as made:
+            docs = written(result, f"pipeline-{name}")
+        discard(before)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)

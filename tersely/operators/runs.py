@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tersely.functions.logs import MIN_RUN, mask_digits, normalise_line, run_marker
 from tersely.functions.text import strip, tokens_of_chars
 
-FANOUT, DEPTH = 1024, 3
+FANOUT, DEPTH = 4096, 2
 
 
 def line_runs(

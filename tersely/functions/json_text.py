@@ -295,12 +295,22 @@ def _resolved(texts: pd.Series) -> pd.Series:
     return texts.map(lambda found: [resolve(t) for t in found], na_action="ignore")
 
 
+def _repeating(texts: Column) -> Column:
+    """Of an array of texts the JSON ones that repeat a key; NULL if there is none."""
+    found = F.filter(
+        texts, lambda t: F.coalesce(t.rlike(r"^\s*[\[{]") & repeated_keys(t), F.lit(False))
+    )
+    return let(F.array_distinct(found), lambda some: F.when(F.size(some) > 0, some))
+
+
 def resolved(texts: Column) -> Column:
-    """Of an array of valid JSON texts those that repeat a key, rewritten; NULL for the others.
+    """Array of the rewritten forms of those texts of an array that repeat a key; NULL if none does.
 
-    Only texts that repeat a key leave the JVM, in Arrow batches; an array without one is NULL.
+    Only these leave the JVM, in Arrow batches.
     """
-    repeating = F.transform(texts, lambda t: F.when(t.isNotNull() & repeated_keys(t), t))
-    return _resolved(
-        let(repeating, lambda found: F.when(F.exists(found, lambda t: t.isNotNull()), found))
-    )
+    return _resolved(_repeating(texts))
+
+
+def resolved_forms(texts: Column) -> Column:
+    """Map from each text of an array that repeats a key to its rewritten form; NULL if none does."""
+    return F.map_from_arrays(_repeating(texts), resolved(texts))

@@ -20,7 +20,7 @@ from tersely.functions.scoring import compaction_score
 from tersely.functions.text import compression_ratio, input_bytes, let
 from tersely.operators.hooks import BUILTIN, HEURISTIC, Compressor, Estimator
 from tersely.operators.json_docs import ROW_KEY, numbered, value_line, value_rows
-from tersely.operators.segments import line_ranges_of, materialise, segments_of
+from tersely.operators.segments import block_texts, line_ranges_of, materialise, segments_of
 
 # --- fixed values -----------------------------------------------------------
 RULE_OF_KIND = {
@@ -251,7 +251,7 @@ def _may_hold_json(text: Column) -> Column:
 def _token_entries() -> Column:
     """Tokens of all open JSON segments of ``_row`` with segment and position."""
     entries = lambda s, i: F.transform(
-        json_text.tokens(F.coalesce(F.get("_row._plain", i), s["text"])),
+        json_text.tokens(F.coalesce(F.try_element_at("_row._plain", s["text"]), s["text"])),
         lambda t, pos: F.struct((i + 1).alias("seg"), pos.alias("pos"), t.alias("t")),
     )
     # Asked of all segments: documents stopped by a guard have no open ones.
@@ -273,8 +273,6 @@ def _json_forms(docs: DataFrame, keys: list[str]) -> DataFrame:
     The document row itself travels as entry 0 next to the token rows, so it
     is neither joined back nor shuffled twice.
     """
-    json_texts = F.transform("_open", lambda s: F.when(s["kind"] == "json", s["text"]))
-    docs = docs.withColumn("_plain", json_text.resolved(json_texts))
     payload = [c for c in docs.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in payload])
     docs = docs.withColumn("_row", row).select(*keys, "_row")
@@ -327,7 +325,10 @@ def compact_documents(
     here = _prepared(documents.filter(~may_hold), text_col, options)
     here = here.withColumn("_forms", F.lit(None).cast("map<int,string>"))
     in_row = _decided(_with_rewrites(here, options), text_col, options)
-    candidates = numbered(documents.filter(may_hold), id_col, text_col)
+    # Texts that repeat a key are resolved before the shuffle, which the windows rely on.
+    plain = json_text.resolved_forms(block_texts(F.col(text_col)))
+    candidates = documents.filter(may_hold).withColumn("_plain", plain)
+    candidates = numbered(candidates, id_col, text_col)
     forms = _json_forms(_prepared(candidates, text_col, options), ROW_KEY)
     shuffled = _decided(_with_rewrites(forms, options), text_col, options)
     return in_row.unionByName(shuffled)

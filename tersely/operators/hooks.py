@@ -1,12 +1,14 @@
 """User hooks: token estimators, compressors and segment transformers.
 
 Hooks work on Columns. A Python function is wrapped as an Arrow-batched
-Pandas UDF over the array of a document's segments, so it needs no shuffle.
+Pandas UDF over the array of a document's segments, so it needs no shuffle. The ``batch_``
+forms hand all segments of an Arrow batch to the function in one call, for models and
+services that are dear to call; the ``python_`` forms call it for each segment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -62,6 +64,35 @@ def python_estimator(name: str, estimate: Callable[[str], int]) -> Estimator:
     return Estimator(name, one, many)
 
 
+def batch_estimator(name: str, estimate: Callable[[list[str]], Sequence[int]]) -> Estimator:
+    """Estimator from a Python function of many texts, called once for each Arrow batch.
+
+    It gives one number for each text. Null texts are not handed over and stay null.
+    """
+
+    @F.pandas_udf("long")
+    def one(texts: pd.Series) -> pd.Series:
+        return _for_each([[t] for t in texts], estimate).map(lambda found: found[0])
+
+    @F.pandas_udf("array<long>")
+    def many(arrays: pd.Series) -> pd.Series:
+        return _for_each(arrays, estimate)
+
+    return Estimator(name, one, many)
+
+
+def _for_each(arrays: Iterable, call: Callable[[list], Sequence]) -> pd.Series:
+    """``arrays`` with each item that is not null replaced by its result; one call for all of them."""
+    lists = [None if items is None else list(items) for items in arrays]
+    given = [item for items in lists if items is not None for item in items if item is not None]
+    found = list(call(given)) if given else []
+    if len(found) != len(given):
+        raise ValueError(f"the hook gave {len(found)} results for {len(given)} items")
+    results = iter(found)
+    fill = lambda items: [None if item is None else next(results) for item in items]
+    return pd.Series([None if items is None else fill(items) for items in lists], dtype=object)
+
+
 def column_compressor(
     name: str,
     can_handle: Callable[[Column, Column], Column],
@@ -104,6 +135,22 @@ def python_compressor(
     return Compressor(lambda kind: F.lit(name), run)
 
 
+def batch_compressor(
+    name: str, compress: Callable[[list[str], list[str]], Sequence[str | None]]
+) -> Compressor:
+    """Compressor from a Python function of many texts and their kinds, called once for each Arrow batch.
+
+    It gives a new text for each, or None where it does not apply; nothing is caught.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(arrays: pd.Series) -> pd.Series:
+        both = lambda segments: compress([s["text"] for s in segments], [s["kind"] for s in segments])
+        return _for_each(arrays, both)
+
+    return Compressor(lambda kind: F.lit(name), run)
+
+
 def _builtin(segment: Column) -> Column:
     text, kind = segment["text"], segment["kind"]
     return (

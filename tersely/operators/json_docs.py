@@ -105,10 +105,13 @@ def numbered(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _resolved_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Row keys, id and text of each document, no object of which repeats a key."""
-    rows = numbered(documents, id_col, text_col).select(*ROW_KEY, id_col, text_col)
+    """Row keys, id and text of each document, no object of which repeats a key.
+
+    Texts are resolved before they are spread: the windows that follow rely on that shuffle.
+    """
     own = F.get(resolved(F.array(text_col)), F.lit(0))
-    return rows.withColumn(text_col, F.coalesce(own, text_col))
+    rows = documents.select(id_col, F.coalesce(own, text_col).alias(text_col))
+    return numbered(rows, id_col, text_col).select(*ROW_KEY, id_col, text_col)
 
 
 def json_nodes(

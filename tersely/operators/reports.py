@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tersely.functions.line_diff import kept_pairs
 from tersely.functions.text import (
     compression_ratio,
     delta_percent,
@@ -144,15 +145,17 @@ def changed_lines(
 ) -> DataFrame:
     """Lines removed (``-``) and added (``+``) per document, as multisets.
 
-    Counted with one grouping of both sides, so each text is read once.
+    Counted with one grouping of both sides, so each text is read once; rows that share an
+    id are documents of their own. ``line_changes`` gives lines in order.
     """
     lines = lambda column, weight: F.transform(
         split_lines(F.col(column)),
         lambda line: F.struct(line.alias("line"), F.lit(weight).alias("w")),
     )
     changed = results.filter(F.col(before) != F.col(after))
-    rows = changed.select(id_col, F.inline(F.concat(lines(before, 1), lines(after, -1))))
-    sums = rows.groupBy(id_col, "line").agg(F.sum("w").alias("_w")).filter(F.col("_w") != 0)
+    numbered = changed.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered.select(id_col, "_row", F.inline(F.concat(lines(before, 1), lines(after, -1))))
+    sums = rows.groupBy("_row", id_col, "line").agg(F.sum("w").alias("_w")).filter(F.col("_w") != 0)
     return sums.select(
         id_col,
         F.when(F.col("_w") > 0, F.lit("-")).otherwise(F.lit("+")).alias("sign"),
@@ -161,6 +164,55 @@ def changed_lines(
     )
 
 
+def line_changes(
+    results: DataFrame, id_col: str = "doc_id", before: str = "text", after: str = "output", keep: bool = True
+) -> DataFrame:
+    """Lines of both texts in the order of a diff: id, ``place``, ``sign``, two line numbers, ``line``.
+
+    ``sign`` is a blank for a line that stays, ``-`` for one removed (``after_no`` is NULL) and ``+`` for
+    one added (``before_no`` is NULL); between two kept lines the removed come first. Line
+    numbers and places start at 1. Each row of ``results`` is compared by itself, so rows may
+    share an id; a null text has no lines. Without ``keep`` the kept lines are left out.
+    """
+    changed = results.select(
+        id_col,
+        F.coalesce(split_lines(F.col(before)), F.array().cast("array<string>")).alias("_a"),
+        F.coalesce(split_lines(F.col(after)), F.array().cast("array<string>")).alias("_b"),
+    )
+    stays = changed.withColumn("_kept", kept_pairs(F.col("_a"), F.col("_b")))
+    number = F.lit(None).cast("int")
+
+    def entry(rank: int, sign: str, i: Column, j: Column, gap: Column, line: Column) -> Column:
+        # Sorted by the kept line before, then kept, removed, added, then by number.
+        return F.struct(
+            gap.alias("gap"), F.lit(rank).alias("rank"), F.coalesce(i, j).alias("no"), F.lit(sign).alias("sign"),
+            i.alias("before_no"), j.alias("after_no"), line.alias("line"),
+        )
+
+    def missing(lines: str, side: str, rank: int, sign: str) -> Column:
+        """Lines of one side that do not stay, with the number of kept lines before them."""
+        edges = F.concat(
+            F.array(F.lit(-1)), F.transform("_kept", lambda p: p[side]), F.array(F.size(lines))
+        )
+
+        def gap(k: Column) -> Column:
+            low, high = F.get(edges, k) + 1, F.get(edges, k + 1)
+            numbers = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+            place = lambda n: (n + 1, number) if side == "before" else (number, n + 1)
+            return F.transform(numbers, lambda n: entry(rank, sign, *place(n), k, F.get(lines, n)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("_kept")), gap))
+
+    kept = F.transform(
+        "_kept", lambda p, k: entry(0, " ", p["before"] + 1, p["after"] + 1, k + 1, F.get("_a", p["before"]))
+    )
+    parts = [missing("_a", "before", 1, "-"), missing("_b", "after", 2, "+"), *([kept] if keep else [])]
+    listed = stays.select(id_col, F.posexplode(F.sort_array(F.concat(*parts))).alias("_p", "_e"))
+    return listed.select(
+        id_col, (F.col("_p") + 1).alias("place"), "_e.sign", "_e.before_no", "_e.after_no", "_e.line"
+    )
+
+
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows found on one side only; empty means the sets are equal."""
     only_left = left.distinct().subtract(right).withColumn("side", F.lit("left"))
@@ -169,9 +221,9 @@ def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def same_members(values: Column, required: Sequence[str]) -> Column:
-    """True if an array holds exactly the required members, in any order."""
-    needed = F.array(*[F.lit(v) for v in required])
+def same_members(values: Column, required: Column | Sequence[str]) -> Column:
+    """True if two arrays hold the same members, in any order and number; per row."""
+    needed = required if isinstance(required, Column) else F.array(*[F.lit(v) for v in required])
     return (F.size(F.array_except(values, needed)) == 0) & (
         F.size(F.array_except(needed, values)) == 0
     )

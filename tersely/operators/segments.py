@@ -137,6 +137,15 @@ def _segment(piece: Column) -> Column:
     return let(strip(raw), with_trimmed)
 
 
+def block_texts(text: Column) -> Column:
+    """All texts that segments of a document may hold but prose: itself, fence bodies, the tail."""
+    parts = F.split(text, FENCE, -1)
+    bodies = F.regexp_extract_all(text, F.lit(FENCE), F.lit(2))
+    fenced = F.concat(bodies, F.transform(bodies, strip), F.array(strip(F.element_at(parts, -1))))
+    whole = F.array(strip(text))
+    return F.when(F.contains(text, F.lit("```")), F.concat(whole, fenced)).otherwise(whole)
+
+
 def segment_array(text: Column) -> Column:
     """Segments of a text as an array; empty for an empty text.
 

@@ -208,3 +208,60 @@ def results(documents: DataFrame, events: DataFrame) -> DataFrame:
         .otherwise("input exceeds max_input_bytes")
     )
     return sized.withColumn("reason", reason).join(day, "doc_id")
+
+
+def line_texts(customers: DataFrame) -> DataFrame:
+    """A text of 30, 40 or 50 equal lines of 25 characters per customer; one in four is prose."""
+    key = F.col("c_custkey")
+    line = F.when(key % 4 == 0, F.lit("just some plain old word\n")).otherwise(
+        F.concat(F.lit("ERROR order "), F.substring("c_mktsegment", 1, 1), F.lit(" is delayed\n"))
+    )
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (key % 3).cast("int"))
+    return customers.select(
+        key.alias("doc_id"),
+        F.col("c_mktsegment").alias("segment"),
+        day.cast("timestamp").alias("made"),
+        F.repeat(line, (key % 3 * 10 + 30).cast("int")).alias("text"),
+    )
+
+
+def edited_texts(orders: DataFrame) -> DataFrame:
+    """Six lines per order, and the same with one of them left out and one put in after the third."""
+    key = F.col("o_orderkey")
+    dropped = (key % 6 + 1).cast("int")
+    line = lambda i: F.concat(F.lit("line "), i.cast("string"), F.lit(" of "), key.cast("string"))
+    numbers = F.sequence(F.lit(1), F.lit(6))
+    after = F.flatten(
+        F.transform(
+            numbers,
+            lambda i: F.concat(
+                F.when(i == dropped, F.array().cast("array<string>")).otherwise(F.array(line(i))),
+                F.when(i == 3, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")),
+            ),
+        )
+    )
+    return orders.select(
+        key.alias("doc_id"),
+        F.array_join(F.transform(numbers, line), "\n").alias("text"),
+        F.array_join(after, "\n").alias("output"),
+    )
+
+
+def trees(orders: DataFrame) -> DataFrame:
+    """A text per order that names a list as a tree does; one in three has too few lines for one."""
+    key = F.col("o_orderkey")
+    tree = F.concat(
+        F.lit("orders[2]:\n  id: "), key.cast("string"), F.lit("\n  status: "), F.col("o_orderstatus"), F.lit("\n")
+    )
+    short = F.concat(F.lit("orders[2]: of key "), key.cast("string"), F.lit(" without more to it\n"))
+    return orders.select(key.alias("doc_id"), F.when(key % 3 == 0, short).otherwise(tree).alias("text"))
+
+
+def order_logs(orders: DataFrame) -> DataFrame:
+    """Log texts without a run: two lines with level, two without, or one of each, by order key."""
+    key = F.col("o_orderkey")
+    first = F.concat(F.lit("2024-01-01T00:00:00Z ERROR order "), key.cast("string"), F.lit(" late\n"))
+    second = F.concat(F.lit("2024-01-01T00:00:01Z WARN prio, "), F.col("o_orderpriority"), F.lit("\n"))
+    bare = F.concat(F.lit("status "), F.col("o_orderstatus"), F.lit("\n"))
+    text = F.when(key % 3 == 0, F.concat(first, second)).when(key % 3 == 1, F.concat(bare, bare))
+    return orders.select(key.alias("doc_id"), text.otherwise(F.concat(first, bare)).alias("text"))

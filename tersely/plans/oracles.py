@@ -592,3 +592,106 @@ ORACLES["stream_live_columns"] = rf"""
 SELECT doc_id, kind, {_tokens('d.text')} AS tokens,
   'sha256:' || sha256(regexp_replace(d.text, '{ENV}', '\1\2=***', 'g')) AS input_hash
 FROM documents d JOIN ({ORACLES['classify_documents']}) c USING (doc_id)"""
+
+ORACLES["stored_baseline"] = ORACLES["baseline_regression"]
+ORACLES["batch_hooks"] = ORACLES["python_hooks"]
+
+
+def _snapshot_rows(rows: str, total: str = "", tool: str = "", reason: str = "") -> str:
+    """Counter rows of ``rows``; the conditions say which rows a part counts."""
+    block = COUNTERS if not total else COUNTERS.replace("WHERE transformed)", f"WHERE transformed AND {total})")
+    return f"""SELECT 'total' AS scope, NULL AS key, {block} FROM {rows}
+UNION ALL SELECT 'tool', tool, {COUNTERS} FROM {rows} WHERE {tool or 'true'} GROUP BY tool
+UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), {COUNTERS} FROM {rows} GROUP BY 2
+UNION ALL SELECT 'reason', reason, count(*), 0, 0, 0 FROM {rows}
+  WHERE NOT transformed AND {reason or 'true'} GROUP BY reason"""
+
+
+LINE_TEXTS = """cut AS (
+  SELECT c_custkey AS doc_id, c_mktsegment AS tool, DATE '2024-01-01' + (c_custkey % 3)::INTEGER AS ts,
+    c_custkey % 4 = 0 AS prose, 'ERROR order ' || c_mktsegment[1] || ' is delayed' AS line,
+    unnest(range(0, (c_custkey % 3 * 10 + 30 + 19) // 20)) AS chunk_no,
+    c_custkey % 3 * 10 + 30 AS lines
+  FROM customer),
+sized_chunks AS (SELECT *, least(20, lines - 20 * chunk_no) AS n FROM cut),
+chunks AS (
+  SELECT *, NOT prose AS transformed, 'ok' AS reason, 25 * n AS chars,
+    CASE WHEN prose THEN repeat('just some plain old word' || chr(10), n)
+      ELSE '[×' || n || '] ' || line || chr(10) END AS output
+  FROM sized_chunks),
+results AS (
+  SELECT *, CAST(ceil(chars / 4.0) AS BIGINT) AS input_tokens,
+    CAST(ceil(length(output) / 4.0) AS BIGINT) AS output_tokens
+  FROM chunks)"""
+
+ORACLES |= {
+    "metrics_snapshot_updates": _with(RESULTS) + _snapshot_rows("results"),
+    "metrics_snapshot_damaged": _with(RESULTS)
+    + _snapshot_rows(
+        "results",
+        total="doc_id % 3 <> 0",
+        tool="(tool <> 'src1' OR doc_id % 3 <> 0)",
+        reason="doc_id % 3 <> 0",
+    ).replace(
+        "AND doc_id % 3 <> 0) AS pass_through", ") AS pass_through"
+    ),
+    "stream_chunk_records": _with(LINE_TEXTS)
+    + """SELECT doc_id, chunk_no, tool, output,
+  CASE WHEN transformed THEN 'transformed' ELSE 'pass-through' END AS action, input_tokens, output_tokens
+FROM results""",
+    "stream_chunk_metrics": _with(LINE_TEXTS) + _snapshot_rows("results"),
+    "audit_tail_file_order": _with(RESULTS)
+    + rf""", hashed AS (
+  SELECT tool, input_tokens,
+    'sha256:' || sha256(regexp_replace(text, '{ENV}', '\1\2=***', 'g')) AS input_hash
+  FROM results),
+last AS (
+  SELECT * FROM hashed ORDER BY input_tokens % 2 DESC, input_hash DESC, tool DESC LIMIT 40)
+SELECT row_number() OVER (ORDER BY input_tokens % 2, input_hash, tool) - 1 AS place,
+  '2024-03-01T00:00:00.000000+00:00' AS ts, tool, input_hash, input_tokens AS input_tokens_est
+FROM last""",
+    "texts_by_suffix": """SELECT c_mktsegment AS segment, count(*) AS lines,
+  CAST(sum(length(c_name) + 1) AS BIGINT) AS chars FROM customer GROUP BY 1""",
+    "same_members_docs": """SELECT doc_id, list_sort(list_distinct(
+    list_transform(string_split(text, ' '), lambda w: length(w) % 5))) = range(0, doc_id % 3 + 3) AS same
+FROM documents""",
+    "line_changes": """WITH edits AS (SELECT o_orderkey AS k, o_orderkey % 6 + 1 AS d FROM orders),
+numbered AS (SELECT k, d, unnest(range(1, 7)) AS i FROM edits),
+entries AS (
+  SELECT k AS doc_id, ' ' AS sign, i AS before_no,
+    i - (i > d)::INT + (i > 3)::INT AS after_no, 'line ' || i || ' of ' || k AS line,
+    i - (i > d)::INT AS gap, 0 AS rank
+  FROM numbered WHERE i <> d
+  UNION ALL
+  SELECT k, '-', d, NULL, 'line ' || d || ' of ' || k, d - 1, 1 FROM edits
+  UNION ALL
+  SELECT k, '+', NULL, 4 - (d <= 3)::INT, 'new', 3 - (d <= 3)::INT, 2 FROM edits)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap, rank) AS place, sign, before_no,
+  after_no, line
+FROM entries""",
+    "tree_kept": """WITH made AS (
+  SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS tree, CASE WHEN o_orderkey % 3 = 0
+    THEN 'orders[2]: of key ' || o_orderkey || E' without more to it\n'
+    ELSE E'orders[2]:\n  id: ' || o_orderkey || E'\n  status: ' || o_orderstatus || E'\n' END AS text
+  FROM orders)
+SELECT doc_id, CASE WHEN tree THEN 'tree' ELSE 'plain' END AS kind,
+  CASE WHEN tree THEN rtrim(text, chr(10)) ELSE text END AS output, 'pass-through' AS action,
+  CASE WHEN tree THEN 'tree: tree-like input already compact; kept original' ELSE '' END AS notes
+FROM made""",
+    "log_block_form": """SELECT o_orderkey AS doc_id, CASE o_orderkey % 3
+  WHEN 0 THEN E'data[2]{ts,level,msg}:\n  2024-01-01T00:00:00Z,ERROR,order ' || o_orderkey
+    || E' late\n  2024-01-01T00:00:01Z,WARN,prio\\\\, ' || o_orderpriority || chr(10)
+  WHEN 1 THEN E'data[2]{line}:\n  status ' || o_orderstatus || E'\n  status ' || o_orderstatus || chr(10)
+  ELSE E'data[2]:\n  -\n    ts: 2024-01-01T00:00:00Z\n    level: ERROR\n    msg: order ' || o_orderkey
+    || E' late\n  -\n    line: status ' || o_orderstatus || chr(10) END AS block
+FROM orders""",
+    "confidence_gate": _with(PROMPTS) + "SELECT doc_id, whole IN ('stacktrace', 'table') AS unsure FROM kinds",
+    "unsupported_version": _with(PROMPTS)
+    + """SELECT doc_id, text AS output, 'pass-through' AS action, 'unsupported format version 9' AS reason,
+  'Skipped rewrite because format version 9 is unsupported.' AS notes FROM prompts""",
+    "user_transformer": _with(PROPS)
+    + f"""SELECT doc_id, CASE WHEN shorter THEN short ELSE text END AS output,
+  CASE WHEN shorter THEN 'transformed' ELSE 'pass-through' END AS action
+FROM (SELECT *, coalesce({_tokens('short')} < {_tokens('text')}, false) AS shorter FROM (
+  SELECT *, 'k=' || json_extract_string(text, '$.k') AS short FROM props_docs))""",
+}

@@ -11,11 +11,18 @@ from tersely.functions import blocks, delimited, json_text, logs, scoring, trace
 from tersely.functions import text as T
 from tersely.operators import compact as C
 from tersely.operators import records, reports, runs, segments
-from tersely.operators.hooks import column_compressor, python_compressor, python_estimator
+from tersely.operators.hooks import (
+    batch_compressor,
+    batch_estimator,
+    column_compressor,
+    python_compressor,
+    python_estimator,
+)
 from tersely.operators.json_docs import json_compact, json_nodes
 from tersely.plans import inputs
 from tersely.session import configure
 from tersely.sources import audit_log, snapshots
+from tersely.sources import texts as text_files
 from tersely.streaming import chunks as stream_chunks
 from tersely.streaming import metrics as stream_metrics
 from tersely.streaming import runs as stream_runs
@@ -529,7 +536,7 @@ def audit_filter_tail(spark, sf):
     folder = inputs.scratch(spark, "audit")
     audit_log.append_records(_audit(spark, sf), folder)
     found = audit_log.filter_audit(audit_log.read_audit(spark, folder), "2024-01", "src1")
-    return audit_log.tail_audit(found, 50).select(
+    return audit_log.tail_audit(found, 50, by_time=True).select(
         F.substring("ts", 1, 19).alias("ts"), "action", "delta_tokens", "input_hash"
     )
 
@@ -567,6 +574,148 @@ def set_equality(spark, sf):
     return reports.set_difference(sources, renamed)
 
 
+# --- stored state, guards and files ----------------------------------------------------
+
+
+@query
+def metrics_snapshot_updates(spark, sf):
+    """A snapshot updated batch by batch; a batch number that comes again changes nothing."""
+    folder = inputs.scratch(spark, "snapshot-updates")
+    rows = _results(spark, sf)
+    for batch_id, part in ((0, 0), (1, 1), (1, 2), (2, 2)):
+        snapshots.update_snapshot(rows.filter(F.col("doc_id") % 3 == part), folder, batch_id)
+    return snapshots.snapshot_rows(snapshots.current_snapshot(spark, folder))
+
+
+@query
+def metrics_snapshot_damaged(spark, sf):
+    """A stored snapshot with a damaged total, a damaged block and no reasons, then an update."""
+    folder = inputs.scratch(spark, "snapshot-damaged")
+    rows = _results(spark, sf)
+    snap = snapshots.snapshot(rows.filter(F.col("doc_id") % 3 == 0))
+    text = F.to_json(F.struct(F.lit(0).alias("last_batch"), *snap.columns))
+    for pattern, damaged in (
+        (r'"transforms_applied":\d+', '"transforms_applied":-7'),
+        (r'"src1":\{"attempted":\d+', '"src1":{"attempted":"none"'),
+        (r'"pass_through_reasons":\{[^}]*\}', '"pass_through_reasons":[1]'),
+    ):
+        text = F.regexp_replace(text, pattern, damaged)
+    snap.select(text.alias("value")).write.text(f"{folder}/slot=0")
+    snapshots.update_snapshot(rows.filter(F.col("doc_id") % 3 != 0), folder, 1)
+    return snapshots.snapshot_rows(snapshots.current_snapshot(spark, folder))
+
+
+@query
+def stored_baseline(spark, sf):
+    folder = inputs.scratch(spark, "baseline")
+    sized = _results(spark, sf).withColumn("name", F.col("source"))
+    early = sized.filter((F.col("lang") != "en") & (F.col("source") != "src7"))
+    snapshots.write_baseline(reports.token_totals(early, ["name"]), folder)
+    current = reports.token_totals(sized, ["name"])
+    return reports.regression_check(current, snapshots.read_baseline(spark, folder), 0.05)
+
+
+@query
+def audit_tail_file_order(spark, sf):
+    """Records of one time: the later append comes last, and within it the later row."""
+    folder = inputs.scratch(spark, "audit-tail")
+    audit = _audit(spark, sf).withColumn("ts", F.lit("2024-03-01T00:00:00.000000+00:00"))
+    for even in (True, False):
+        part = audit.filter((F.col("input_tokens_est") % 2 == 0) == even)
+        part = part.repartitionByRange(4, "input_hash", "tool").sortWithinPartitions("input_hash", "tool")
+        audit_log.append_records(part, folder)
+    found = audit_log.filter_audit(audit_log.read_audit(spark, folder), "2024-03", None)
+    last = audit_log.tail_audit(found, 40).withColumn("place", F.monotonically_increasing_id())
+    return last.select("place", "ts", "tool", "input_hash", "input_tokens_est")
+
+
+@query
+def texts_by_suffix(spark, sf):
+    """Lines and characters of the text files of each market segment; files of another suffix are passed over."""
+    folder = inputs.scratch(spark, "texts")
+    names = inputs.table(spark, sf, "customer").select("c_name", "c_mktsegment")
+    writer = lambda: names.write.mode("append").partitionBy("c_mktsegment")
+    writer().text(folder)
+    writer().csv(folder)
+    found = text_files.read_texts(spark, folder, ".txt")
+    segment = F.regexp_extract("path", "c_mktsegment=([^/]*)/", 1).alias("segment")
+    lines = F.sum(F.size(T.split_lines(F.col("text")))).alias("lines")
+    return found.groupBy(segment).agg(lines, F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def same_members_docs(spark, sf):
+    """Whether the word lengths of a document, modulo 5, are exactly 0 to 2, 3 or 4, by its id."""
+    words = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.length(w) % 5))
+    needed = F.transform(F.sequence(F.lit(0), F.col("doc_id").cast("int") % 3 + 2), lambda n: n)
+    return _documents(spark, sf).select("doc_id", reports.same_members(words, needed).alias("same"))
+
+
+@query
+def line_changes(spark, sf):
+    return reports.line_changes(inputs.edited_texts(inputs.table(spark, sf, "orders")))
+
+
+@query
+def tree_kept(spark, sf):
+    """Trees are recognised and kept as they are."""
+    out = C.compact_documents(
+        inputs.trees(inputs.table(spark, sf, "orders")), options=C.Options(threshold=0.1)
+    )
+    return out.select(
+        "doc_id",
+        F.get("segments", F.lit(0))["kind"].alias("kind"),
+        "output",
+        "action",
+        F.array_join("explanations", " | ").alias("notes"),
+    )
+
+
+@query
+def log_block_form(spark, sf):
+    """Logs without a run as record blocks."""
+    docs = inputs.order_logs(inputs.table(spark, sf, "orders"))
+    return docs.select("doc_id", logs.record_block(F.col("text")).alias("block"))
+
+
+@query
+def confidence_gate(spark, sf):
+    out = C.compact_documents(_prompts(spark, sf), options=C.Options(min_confidence=0.78))
+    unsure = F.exists("segments", lambda s: s["reason"].eqNullSafe(C.UNSURE))
+    return out.select("doc_id", unsure.alias("unsure"))
+
+
+@query
+def unsupported_version(spark, sf):
+    out = C.compact_documents(_prompts(spark, sf), options=C.Options(format_version="9"))
+    return out.select("doc_id", "output", "action", "reason", F.array_join("explanations", "").alias("notes"))
+
+
+@query
+def user_transformer(spark, sf):
+    """A transformer of JSON texts; where it gives NULL the text stays."""
+    short = lambda text: F.concat(F.lit("k="), F.get_json_object(text, "$.k"))
+    out = C.compact_documents(
+        inputs.props_documents(_events(spark, sf)), options=C.Options(transformers={"json": short})
+    )
+    return out.select("doc_id", "output", "action")
+
+
+@query
+def batch_hooks(spark, sf):
+    """Hooks that get all segments of an Arrow batch in one call."""
+    words = batch_estimator("words", lambda texts: [len(text.split(",")) for text in texts])
+    first = batch_compressor(
+        "first",
+        lambda texts, kinds: [
+            text.split(",")[0] if kind == "json" and "," in text else None for text, kind in zip(texts, kinds)
+        ],
+    )
+    options = C.Options(estimator=words, compressors=(first,))
+    out = C.compact_documents(inputs.props_documents(_events(spark, sf)), options=options)
+    return out.select("doc_id", "output", "action", "input_tokens", "output_tokens")
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
@@ -679,3 +828,37 @@ def stream_audit_append(spark, sf):
     return copied.groupBy(F.col("day").cast("string").alias("day"), "tool", "action").agg(
         F.count("*").alias("n"), F.sum("delta_tokens").alias("delta_tokens")
     )
+
+
+def _recorded_chunks(spark, sf) -> str:
+    """Folder of the records and metrics of texts compacted as a stream in chunks of 500."""
+    folder = inputs.scratch(spark, "chunk-records")
+    schema = inputs.table(spark, sf, "customer").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
+    texts = inputs.line_texts(source)
+    stream_chunks.record_chunks(
+        texts, folder, F.col("segment"), F.col("made"), size=500
+    ).awaitTermination()
+    return folder
+
+
+@query
+def stream_chunk_records(spark, sf):
+    """Every chunk of every text is recorded."""
+    records = spark.read.parquet(f"{_recorded_chunks(spark, sf)}/chunks")
+    return records.select(
+        "doc_id",
+        F.col("chunk_no").cast("long").alias("chunk_no"),
+        "tool",
+        "output",
+        "action",
+        "input_tokens",
+        "output_tokens",
+    )
+
+
+@query
+def stream_chunk_metrics(spark, sf):
+    """The running counters of the same stream: each chunk counts."""
+    folder = _recorded_chunks(spark, sf)
+    return snapshots.snapshot_rows(snapshots.current_snapshot(spark, f"{folder}/metrics"))

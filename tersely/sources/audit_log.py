@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tersely.functions.text import audit_hash, content_hash, redact_assignments, tool_label
 from tersely.schemas import AUDIT
 
+STORED = AUDIT + ", day string, append long"
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 DEFAULT_TAIL = 50
 
@@ -64,24 +67,29 @@ def event_rows(
 
 
 def append_records(records: DataFrame, path: str, enabled: bool = True) -> None:
-    """Append JSON lines under one folder per day; fields in key order.
+    """Append JSON lines under one folder per day and append; fields in key order.
 
-    Nulls are written out, so every record has all its fields.
+    Nulls are written out, so every record has all its fields. Appends are numbered by the
+    time they begin, so that records have an order over all files.
     """
     if not enabled:
         return
-    ordered = records.select(*sorted(records.columns), F.substring("ts", 1, 10).alias("day"))
+    ordered = records.select(
+        *sorted(records.columns),
+        F.substring("ts", 1, 10).alias("day"),
+        F.lit(time.time_ns() // 1000).alias("append"),
+    )
     (
         ordered.write.mode("append")
         .option("ignoreNullFields", False)
-        .partitionBy("day")
+        .partitionBy("day", "append")
         .json(path)
     )
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit records with their day; a bad line raises, a missing path holds none."""
-    schema = AUDIT + ", day string"
+    """Audit records with day and append; a bad line raises, a missing path holds none."""
+    schema = STORED
     try:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
@@ -109,8 +117,23 @@ def filter_audit(
     return audit
 
 
-def tail_audit(audit: DataFrame, n: int = DEFAULT_TAIL) -> DataFrame:
-    """The last ``n`` records by time, oldest first. Top-k, not a full sort."""
-    ties = [c for c in ("input_hash", "action") if c in audit.columns]
-    last = audit.orderBy(F.col("ts").desc(), *[F.col(c).desc() for c in ties]).limit(n)
-    return last.orderBy("ts", *ties)
+def tail_audit(audit: DataFrame, n: int = DEFAULT_TAIL, by_time: bool = False) -> DataFrame:
+    """The last ``n`` records, oldest first. Top-k, not a full sort.
+
+    ``audit`` is ``read_audit``, filtered or not: records follow each other as in the files, by
+    append, file and place in the file. ``by_time`` orders by ``ts`` instead, ties by hash and
+    action, as is needed for records that come from no file.
+    """
+    if by_time:
+        ties = [c for c in ("input_hash", "action") if c in audit.columns]
+        last = audit.orderBy(F.col("ts").desc(), *[F.col(c).desc() for c in ties]).limit(n)
+        return last.orderBy("ts", *ties)
+    # Row numbers grow within a task, and a block of a file is read by one task in order.
+    place = F.struct(
+        "append",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    last = audit.withColumn("_place", place).orderBy(F.col("_place").desc()).limit(n)
+    return last.orderBy("_place").drop("_place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tersely.functions.text import tool_label
-from tersely.schemas import AUDIT
+from tersely.sources.audit_log import STORED
 
 
 def running_metrics(
@@ -43,7 +43,7 @@ def running_metrics(
 
 def read_audit_stream(spark: SparkSession, path: str) -> DataFrame:
     """Audit records as they are appended."""
-    return spark.readStream.schema(AUDIT + ", day string").json(path)
+    return spark.readStream.schema(STORED).json(path).drop("append")
 
 
 def append_audit_stream(audit: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

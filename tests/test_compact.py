@@ -120,6 +120,11 @@ def test_options(spark, texts):
     other = run(format_version="9")
     assert {row[1] for row in other} == {"unsupported format version 9"}
     repeated = texts(['{"a": 1, "b": 2, "a": {"c": [3]}}' + " " * 90])
+    fenced = "x\n\n```json\n{\"k\": [1], \"k\": 2}     \n```\ny\n```\n [{\"k\": [1], \"k\": 2}] \n```\n[1,\n{\"k\": 3, \"k\": 4}]\n"
+    (row,) = compact_documents(texts([fenced]), options=Options(threshold=0.0)).collect()
+    assert [s.new_text for s in row.segments if s.kind == "json"] == [
+        "data:\n  k: 2\n", "data[1]{k}:\n  2\n", "data[2]:\n  - 1\n  -\n    k: 4\n"
+    ]
     assert compact_documents(repeated).first().output == "data:\n  a:\n    c[1]:\n      - 3\n  b: 2\n"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tersely.operators import reports
 from tersely.operators.compact import compact_documents
+from tersely.schemas import AUDIT
 from tersely.sources import audit_log, snapshots, texts as text_files
 
 
@@ -110,6 +111,81 @@ def test_odd_snapshot_is_cleaned(spark, tmp_path):
     assert got.daily == {}
 
 
+def counter_rows(snap):
+    return sorted(map(str, snapshots.snapshot_rows(snap).collect()))
+
+
+def made_results(spark, n, first=0):
+    rows = [
+        ("ab "[i % 3], f"2024-01-0{1 + i % 4} 10:00:00", i % 2 == 0, 20 + i, 10, f"why {i % 2}")
+        for i in range(first, first + n)
+    ]
+    return spark.createDataFrame(
+        rows, "tool string, ts string, transformed boolean, input_tokens long, output_tokens long, reason string"
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_updates_equal_one_recomputation(spark, tmp_path):
+    """Batches add up; a number that comes again, or late, changes nothing."""
+    path = str(tmp_path / "kept")
+    assert snapshots.current_snapshot(spark, path).first().last_batch == -1
+    assert snapshots.update_snapshot(made_results(spark, 10), path, 0)
+    assert snapshots.update_snapshot(made_results(spark, 13, 10), path, 1)
+    whole = counter_rows(snapshots.snapshot(made_results(spark, 23)))
+    assert counter_rows(snapshots.current_snapshot(spark, path)) == whole
+    assert not snapshots.update_snapshot(made_results(spark, 5), path, 1)
+    assert not snapshots.update_snapshot(made_results(spark, 5), path, 0)
+    assert counter_rows(snapshots.current_snapshot(spark, path)) == whole
+    assert snapshots.update_snapshot(made_results(spark, 0), path, 7)
+    now = snapshots.current_snapshot(spark, path)
+    assert counter_rows(now) == whole and now.first().last_batch == 7
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["slot=0", "slot=1"]
+
+
+def test_a_damaged_slot_leaves_the_other(spark, tmp_path):
+    """A write that broke off in the slot that was free does not touch the current state."""
+    path = tmp_path / "kept"
+    for batch in (0, 1):
+        snapshots.update_snapshot(made_results(spark, 4, 4 * batch), str(path), batch)
+    slot = snapshots.current_snapshot(spark, str(path)).first().slot
+    for file in (path / f"slot={1 - slot}").glob("part-*"):
+        file.write_text('{"last_batch":2,"transf')
+    for file in (path / f"slot={1 - slot}").glob(".part-*"):
+        file.unlink()
+    whole = counter_rows(snapshots.snapshot(made_results(spark, 8)))
+    assert counter_rows(snapshots.current_snapshot(spark, str(path))) == whole
+    assert snapshots.update_snapshot(made_results(spark, 2, 8), str(path), 2)
+    whole = counter_rows(snapshots.snapshot(made_results(spark, 10)))
+    assert counter_rows(snapshots.current_snapshot(spark, str(path))) == whole
+
+
+def test_folding_any_grouping(spark):
+    parts = [snapshots.snapshot(made_results(spark, n, at)) for at, n in ((0, 3), (3, 1), (4, 8))]
+    left = snapshots.folded(snapshots.folded(parts[0].unionByName(parts[1])).unionByName(parts[2]))
+    right = snapshots.folded(parts[2].unionByName(parts[1]).unionByName(parts[0]))
+    whole = counter_rows(snapshots.snapshot(made_results(spark, 12)))
+    assert counter_rows(left) == counter_rows(right) == whole
+
+
+def test_tail_follows_the_files(spark, tmp_path):
+    """Equal and even falling times come in the order in which they were appended."""
+    path = str(tmp_path / "log")
+    names = [f.strip().split(" ")[0] for f in AUDIT.split(",")]
+    for at in range(3):
+        rows = [
+            tuple(f"2024-0{5 - at}-01T00" if c == "ts" else 100 * at + n if c == "duration_ms" else None for c in names)
+            for n in range(20)
+        ]
+        audit_log.append_records(spark.createDataFrame(rows, AUDIT).coalesce(1), path)
+    audit = audit_log.read_audit(spark, path)
+    last = [r.duration_ms for r in audit_log.tail_audit(audit, 25).collect()]
+    assert last == [*range(115, 120), *range(200, 220)]
+    some = audit.filter("duration_ms % 7 = 0")
+    assert [r.duration_ms for r in audit_log.tail_audit(some, 3).collect()] == [203, 210, 217]
+    assert audit_log.tail_audit(audit, 1, by_time=True).first().ts == "2024-05-01T00"
+    assert set(audit_log.tail_audit(audit, 1).columns) == {*names, "day", "append"}
+
+
 def test_baseline(spark, tmp_path):
     rows = [("same", 41.0, 34.0, -17.07), ("worse", 44.0, 40.0, -9.0), ("new", 1.0, 1.0, 0.0)]
     current = spark.createDataFrame(rows, "name string, input_tokens double, output_tokens double, delta_pct double")

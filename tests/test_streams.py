@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from tersely.operators.runs import collapse_line_runs
+from tersely.sources import snapshots
 from tersely.streaming import chunks, runs
 from tersely.streaming.metrics import running_metrics
 
@@ -108,6 +109,27 @@ def test_chunked_compaction(spark, tmp_path):
     assert [r.output for r in got] == ["[×10] INFO some event\n"] * 4 + ["plain"]
 
 
+def test_chunks_are_recorded_and_counted_once(spark, tmp_path):
+    """Records and counters of two triggers; a repeated batch replaces its records and counts once."""
+    text = "INFO some event\n" * 40
+    rows = [{"doc_id": n, "text": text if n < 3 else "plain", "who": "ab"[n % 2]} for n in range(4)]
+    write_batches(tmp_path / "in", [rows[:2], rows[2:]])
+    stream = source(spark, tmp_path / "in", "doc_id long, text string, who string")
+    folder = str(tmp_path / "out")
+    when = F.lit("2024-02-03").cast("timestamp")
+    chunks.record_chunks(stream, folder, F.col("who"), when, size=160).awaitTermination(240)
+    found = spark.read.parquet(f"{folder}/chunks").orderBy("doc_id", "chunk_no").collect()
+    assert [(r.doc_id, r.chunk_no) for r in found] == [(n, c) for n in range(3) for c in range(4)] + [(3, 0)]
+    assert {r.output for r in found} == {"[×10] INFO some event\n", "plain"}
+    counted = snapshots.current_snapshot(spark, f"{folder}/metrics").first()
+    assert (counted.transforms_attempted, counted.transforms_applied, counted.last_batch) == (13, 12, 1)
+    assert {k: v.attempted for k, v in counted.by_tool.items()} == {"a": 8, "b": 5}
+    assert set(counted.daily) == {"2024-02-03"} and counted.pass_through_reasons == {"ok": 1}
+    again = chunks.record_chunks(stream, folder, F.col("who"), when, size=160)
+    again.awaitTermination(240)
+    assert snapshots.current_snapshot(spark, f"{folder}/metrics").first() == counted
+
+
 def test_live_columns_need_no_state(spark, tmp_path):
     write_batches(tmp_path / "in", [[{"doc_id": 1, "text": '{"a": 1}'}]])
     stream = source(spark, tmp_path / "in", "doc_id long, text string")

@@ -9,6 +9,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from tersely.functions.line_diff import kept_lines
 from tersely.operators import records, reports, runs
 from tersely.operators.json_docs import json_compact, json_nodes
 
@@ -190,6 +191,64 @@ def test_changed_lines_and_sets(spark):
     assert reports.set_difference(one, one).isEmpty()
 
 
+def subsequences(a, b):
+    """Length of the longest common subsequence, by the textbook table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_line_changes_rebuild_both_texts(spark):
+    """Kept and removed lines are the text before, kept and added ones the text after."""
+    rng = random.Random(11)
+    rows = [(7, None, "a"), (7, "a", None), (7, "", ""), (None, "x\ny", "y\nx"), (7, "same", "same")]
+    for n in range(150):
+        words = "abcdefghij"[: rng.randint(2, 10)]
+        before = [rng.choice(words) for _ in range(rng.randint(0, 14))]
+        after = [w for w in before if rng.random() < 0.8]
+        for _ in range(rng.randint(0, 3)):
+            after.insert(rng.randint(0, len(after)), rng.choice(words))
+        rows.append((n % 5, "\n".join(before), "\n".join(after)))
+    for at in range(0, len(rows), 31):
+        _, before, after = rows[at]
+        df = spark.createDataFrame([rows[at]], "doc_id int, text string, output string")
+        found = reports.line_changes(df).orderBy("place").collect()
+        lines = lambda text: (text or "").split("\n") if text else []
+        assert [r.line for r in found if r.sign in " -"] == lines(before)
+        assert [r.line for r in found if r.sign in " +"] == lines(after)
+        assert [r.before_no for r in found if r.before_no] == list(range(1, len(lines(before)) + 1))
+        assert [r.after_no for r in found if r.after_no] == list(range(1, len(lines(after)) + 1))
+    whole = spark.createDataFrame(rows, "doc_id int, text string, output string")
+    counts = reports.line_changes(whole).groupBy("sign").count().collect()
+    before = sum(len(lines(b)) for _, b, _ in rows)
+    assert sum(r["count"] for r in counts if r.sign in " -") == before
+    kept = sum(r["count"] for r in counts if r.sign == " ")
+    assert reports.line_changes(whole, keep=False).count() == sum(r["count"] for r in counts) - kept
+    assert reports.line_changes(whole.limit(0)).count() == 0
+
+
+def test_kept_lines_rise_and_are_longest_where_lines_are_unique():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        kept = kept_lines(a, b)
+        assert all(a[i] == b[j] for i, j in kept)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(kept, kept[1:]))
+        a, b = (rng.sample(range(12), rng.randint(0, 12)) for _ in range(2))
+        assert len(kept_lines(a, b)) == subsequences(a, b)
+
+
+def test_rows_that_share_an_id_are_compared_apart(spark):
+    df = spark.createDataFrame([(1, "a\nb", "a"), (1, "a", "a\nb")], "doc_id int, text string, output string")
+    got = sorted((r.sign, r.line, r.n) for r in reports.changed_lines(df).collect())
+    assert got == [("+", "b", 1), ("-", "b", 1)]
+    rows = spark.createDataFrame([(["a", "b", "a"], ["b", "a"]), (["a"], ["a", "c"])], "x array<string>, y array<string>")
+    same = rows.select(reports.same_members(F.col("x"), F.col("y")), reports.same_members(F.col("x"), ["a"]))
+    assert [tuple(r) for r in same.collect()] == [(True, False), (False, True)]
+
+
 def test_metrics(spark):
     rows = [
         ("a", "2024-01-01 10:00:00", True, 10, 4, "ok"),

@@ -23,6 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that go to a Python worker at once, beside the usual number of rows.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _noting: list[list[str]] = []
 
 
@@ -65,13 +67,19 @@ def temporary() -> Iterator[None]:
 
 @contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run inside go when each has ended."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Shuffle files of the queries run inside go when each has ended; Arrow batches are small."""
+    settings = {CLEANUP: "true"} | BATCH_BYTES
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:

@@ -281,6 +281,15 @@ def test_token_files(spark, tmp_path):
         for r in sorted(token_files.write_token_files(docs, f"file://{tmp_path}/ids", BYTES, 2).collect())
     )
     assert len(whole) == 2 * start
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with parts of some size
+    try:
+        manifest = token_files.write_token_files(docs, f"file://{tmp_path}/many", BYTES, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = manifest.count()
+    reader = token_files.read_token_files(manifest, f"file://{tmp_path}/many", 2)
+    tasks = {r.task for r in reader.select(F.spark_partition_id().alias("task")).distinct().collect()}
+    assert parts > 1 and len(tasks) == parts  # a task for each part
     assert token_files.token_places(spark, docs.limit(0), BYTES, 2, f"file://{tmp_path}/none").count() == 0
 
 

@@ -1,7 +1,10 @@
 """The corpus pipeline: reject bad text, near copies and test passages, mask, encode.
 
 Each stage takes and returns a table of documents, written as Parquet in between; only
-the last returns something else. Verdicts are joined back by document id and text hash,
+the last returns something else. When a stage begins, the result of the one before has been
+written, so what that one left in the scratch folder is deleted; shuffle files go with the
+query that wrote them, and Python workers get small batches (settings of the session).
+Verdicts are joined back by document id and text hash,
 so ids may repeat or be null. Null and empty texts are rejected by the first stage. An
 empty table passes through as one.
 """
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tersely.llm import bpe, decontaminate, near_copies, pii, quality
-from tersely.llm.common import CLEANUP, discard, noted, table, text_key, written
+from tersely.llm.common import BATCH_BYTES, CLEANUP, discard, noted, table, text_key, written
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHINGLE, PERCENT, WINDOW = 5, 80, 13
@@ -68,7 +71,8 @@ def _released(stage: Callable) -> Callable:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set(CLEANUP, "true")
+        for key, value in ({CLEANUP: "true"} | BATCH_BYTES).items():
+            spark.conf.set(key, value)
         files = docs.inputFiles()
         if not any(folder in file for folder in _left for file in files):
             discard(_left)

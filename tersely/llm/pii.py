@@ -13,7 +13,8 @@ Spans the anchors add to these four kinds:
 
 - login: user and password between a scheme's ``://`` and an at-sign before the path;
 - account: a country code, check digits and 11 to 30 letters or digits, single spaces
-  allowed, with remainder 1 modulo 97, after a cue such as ``IBAN``;
+  allowed, with remainder 1 modulo 97, after a cue such as ``IBAN`` in any case and a few
+  words such as ``number``; where words in capitals follow, the longest part that passes;
 - address: an ``mailto:`` or ``tel:`` target that is none of the four kinds.
 
 Matches of one kind do not overlap and are taken from the left; a match that fails its
@@ -51,18 +52,19 @@ NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CALL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@")
-ACCOUNT = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Words and marks that may stand between a cue and its account (fixed values).
+BETWEEN = re.compile(r"(?:[\s:#.=-]|(?:number|num|no|nr|code|is)\b){0,6}", re.IGNORECASE)
+ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,}")
+LONGEST = 34  # letters and digits of an account
 TARGET = re.compile(r"[^\s<>\"'?]+")
 
-#: Anchor strings and the parser each one wakes (fixed values).
+#: Anchor strings, found in texts with A-Z lowered, and the parser each one wakes (fixed values).
 ANCHORS = {
     "@": "email",
     "+": "phone",
     "://": "login",
-    "IBAN": "account",
     "iban": "account",
     "account": "account",
-    "Account": "account",
     "mailto:": "address",
     "tel:": "address",
     **{digit: "digit" for digit in sorted(DIGITS)},
@@ -100,6 +102,27 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+LOWERED = {i: i + 32 for i in range(65, 91)}
+
+
+def account_end(text: str, at: int) -> int | None:
+    """Where the account that begins at ``at`` ends: the longest part up to a border that passes."""
+    match = ACCOUNT.match(text, at)
+    if not match:
+        return None
+    passed, signs = None, ""
+    for place in range(at, match.end()):
+        if text[place] == " ":
+            continue
+        signs += text[place]
+        if len(signs) > LONGEST:
+            break
+        inside = text[place + 1 : place + 2]
+        if len(signs) >= 15 and not (inside.isalnum() and inside.isascii()) and mod97(signs):
+            passed = place + 1
+    return passed
+
+
 def _bare(address: str) -> list[str]:
     """The parts of a dotted address without leading zeros."""
     return [part.lstrip("0") for part in address.split(".")]
@@ -119,7 +142,7 @@ def find_spans(text: str) -> list[Span]:
         if valid:
             spans[kind].append((kind, start, end))
 
-    for last, (size, kind) in automaton().iter(text):
+    for last, (size, kind) in automaton().iter(text.translate(LOWERED)):
         at = last - size + 1
         if kind == "digit":
             if at >= free["card"]:
@@ -151,9 +174,9 @@ def find_spans(text: str) -> list[Span]:
                 if match := LOGIN.match(text, last + 1):
                     take("login", last + 1, match.end() - 1)
             elif kind == "account":
-                if match := ACCOUNT.match(text, last + 1):
-                    start, end = match.span(1)
-                    take("account", start, end, mod97(match[1].replace(" ", "")))
+                start = BETWEEN.match(text, last + 1).end()
+                if end := account_end(text, start):
+                    take("account", start, end)
             elif match := TARGET.match(text, last + 1):
                 take("address", *match.span())
     known = {(start, end) for kind in BASE_KINDS for _, start, end in spans[kind]}

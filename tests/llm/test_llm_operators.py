@@ -407,15 +407,29 @@ def test_pii_added_kinds_and_masking():
     text = "ftp://ann:pw@h.org/x IBAN: DE89 3704 0044 0532 0130 00. IBAN DE00370400440532013000 mailto:a@b.org tel:123"
     found = [(kind, text[s:e]) for kind, s, e in pii.find_spans(text) if kind not in pii.BASE_KINDS]
     assert found == [("login", "ann:pw"), ("account", "DE89 3704 0044 0532 0130 00"), ("address", "123")]
+    account = "DE89 3704 0044 0532 0130 00"
+    for before, after in (
+        ("IBAN ", " BIC COBADEFFXXX"), ("Iban: ", ""), ("ACCOUNT ", " EUR"), ("IBAN number ", "."),
+        ("Account No. ", "\nX"), ("my account is ", " AB12"), ("iban:", " " + "A1 " * 40),
+    ):
+        for sign in (account, account.replace(" ", "")):
+            text = before + sign + after
+            assert [text[s:e] for kind, s, e in pii.find_spans(text) if kind == "account"] == [sign], text
+    for text in ("IBAN DE88370400440532013000", "IBAN " + "A" * 90_000, "account of DE89370400440532013000X", "IBAN DE89"):
+        assert not [s for s in pii.find_spans(text) if s[0] == "account"], text[:60]
     assert pii.masked("x a@b.c, +1 (234) 555-6789.", pii.find_spans("x a@b.c, +1 (234) 555-6789.")) == "x [email], [phone]."
 
 
 def test_pii_documents(spark):
-    rows = [(1, "a@b.c 1.2.3.4"), (1, "a@b.c 1.2.3.4"), (None, "x +123456789"), (2, None), (3, ""), (4, "x" * 300_000 + " q@r.s")]
+    rows = [(1, "a@b.c 1.2.3.4"), (1, "a@b.c 1.2.3.4"), (None, "x +123456789"), (2, None), (3, ""), (4, "x" * 100_000 + " q@r.s")]
     docs = made_docs(spark, rows)
     for row in pii.pii_spans(docs).collect():
         text = next(t for i, t in rows if i == row.doc_id) or ""
-        base = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_base(text))
+        found = list(brute_base(text))
+        kinds = [kind for kind, *_ in found]
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(map(kinds.count, pii.BASE_KINDS))
+        assert row.spans == pii.listed(pii.find_spans(text))
+        base = ",".join(f"{k}:{s}:{e}" for k, s, e in found)
         assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     assert pii.pii_spans(docs.limit(0)).count() == 0
     masked = pii.mask_pii(docs)

@@ -32,7 +32,10 @@ def _rows(lines: Column, delimiter: str) -> Column:
         F.regexp_extract_all(F.concat(lead, text), F.lit(rf"\G{delimiter}({field})"), F.lit(1)),
         _value,
     )
-    return F.transform(found, cells)
+    # Without a quote every line is a row, and a plain split gives its cells.
+    plain = F.transform(lines, lambda line: F.split(line, delimiter, -1))
+    quoted = F.exists(lines, lambda line: F.contains(line, F.lit('"')))
+    return F.when(quoted, F.transform(found, cells)).otherwise(plain)
 
 
 def _value(raw: Column) -> Column:

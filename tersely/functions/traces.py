@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
-from tersely.functions.text import filled_lines, let, rstrip, split_lines
+from tersely.functions.text import WHITE_SPACE, filled_lines, let, rstrip, split_lines
 
 # --- fixed values -----------------------------------------------------------
-FRAME = r"(?U)^[\s\x1C-\x1F]*(?:File \"|at |frame #)|\.go:"
+FRAME_STARTS = ('File "', "at ", "frame #")
+FRAME_PART = ".go:"
 TRACE_WORD = "Traceback"
 AFTER_AT = r"(?U)\bat [^\n]*+"
 PLACE = r"(?U):\d"
-SCORED_FRAME = r"(?U)^[\s\x1C-\x1F]*(?:File |at )"
+SCORED_STARTS = ("File ", "at ")
 HEAD = 3
 TAIL = 3
 MIN_LINES = 8
@@ -21,14 +25,22 @@ MIN_FRAMES = 6
 # ----------------------------------------------------------------------------
 
 
+def _begins(line: Column, starts: tuple[str, ...]) -> Column:
+    """True if a line begins with one of some words, white space aside. No regular expression."""
+    return let(
+        F.ltrim(line, F.lit(WHITE_SPACE)),
+        lambda bare: reduce(or_, (F.startswith(bare, F.lit(word)) for word in starts)),
+    )
+
+
 def is_frame(line: Column) -> Column:
     """True for a line that shows one stack frame."""
-    return line.rlike(FRAME)
+    return _begins(line, FRAME_STARTS) | F.contains(line, F.lit(FRAME_PART))
 
 
 def frame_count(text: Column) -> Column:
     """Frames as the score counts them."""
-    return F.size(F.filter(split_lines(text), lambda line: line.rlike(SCORED_FRAME)))
+    return F.size(F.filter(split_lines(text), lambda line: _begins(line, SCORED_STARTS)))
 
 
 def is_trace(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Accepted: ``key: scalar`` mappings, lists of scalars, lists of flat records,
 and mappings whose values are any of these one level down (two-space indent,
-list dashes at either column). Comments and blank lines are skipped. Scalars
+list dashes at either column). Comments, also behind a value, and blank lines are skipped. Scalars
 are plain words, simple quoted strings, decimal numbers, ISO dates, booleans
 and null. Anything else is not YAML here and the text stays plain.
 """
@@ -37,7 +37,8 @@ _WORDS = r"[\p{L}_/](?:[^:#\t]|:(?! |$)|(?<! )#)*+"
 _COUNTED = r"[0-9]++(?:\.[0-9]++){2,}|[1-9][0-9]*+(?:\.[0-9]++)?[a-zA-Z%]++"
 _VALUE = rf"(?:{_NUMBER}|{_DATE}|{_QUOTED}|{_WORDS}|{_COUNTED}|~)"
 # lead spaces, dash of a pair, key, value of the key, value of a list item
-LINE = rf"^( *)(?:(- )?({_KEY}):(?: +({_VALUE}))?|- +({_VALUE})) *$"
+# and a comment, which a blank must precede
+LINE = rf"^( *)(?:(- )?({_KEY}):(?: +({_VALUE}))?|- +({_VALUE}))(?: *(?<= )#.*)? *$"
 START = r"^---\s*$"
 FIRST_LINE = r"^\s*(?:#|- |---\s*[\n\r]|[\p{L}_][^\n\r:]*+:(?:\s|$))"
 

@@ -126,8 +126,13 @@ def judge_urls(
         "place", F.concat(point_key(F.col("name"), F.col("path")), F.lit("\u0001"), mark)
     )
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = points.select("place").orderBy(F.xxhash64("place")).limit(ranges * SAMPLE).collect()
-    places = sorted((r.place for r in sample), key=lambda s: s.encode())
+    # What comes to the driver depends on the number of ranges, not on rows or tasks: hashes
+    # below a bound that follows from the number of points.
+    wanted, total = ranges * SAMPLE, rows.agg(F.sum(F.size(levels))).first()[0] or 0
+    drawn = points.select("place")
+    if total > wanted:
+        drawn = drawn.where(F.xxhash64("place") < int(2.0**64 * wanted / total) - 2**63)
+    places = sorted((r.place for r in drawn.collect()), key=lambda s: s.encode())
     splits = sorted({places[i] for i in range(SAMPLE, len(places), SAMPLE)}, key=lambda s: s.encode())
 
     ruled = stacks(rules)

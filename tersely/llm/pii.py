@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -58,7 +59,7 @@ ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,}")
 LONGEST = 34  # letters and digits of an account
 TARGET = re.compile(r"[^\s<>\"'?]+")
 
-#: Anchor strings, found in texts with A-Z lowered, and the parser each one wakes (fixed values).
+#: Anchor strings, in capitals and small letters of any kind, and the parser each one wakes (fixed values).
 ANCHORS = {
     "@": "email",
     "+": "phone",
@@ -74,7 +75,8 @@ ANCHORS = {
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for anchor, kind in ANCHORS.items():
-        found.add_word(anchor, (len(anchor), kind))
+        for letters in product(*({c, c.upper()} for c in anchor)):
+            found.add_word("".join(letters), (len(anchor), kind))
     found.make_automaton()
     return found
 
@@ -102,9 +104,6 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-LOWERED = {i: i + 32 for i in range(65, 91)}
-
-
 def account_end(text: str, at: int) -> int | None:
     """Where the account that begins at ``at`` ends: the longest part up to a border that passes."""
     match = ACCOUNT.match(text, at)
@@ -142,7 +141,7 @@ def find_spans(text: str) -> list[Span]:
         if valid:
             spans[kind].append((kind, start, end))
 
-    for last, (size, kind) in automaton().iter(text.translate(LOWERED)):
+    for last, (size, kind) in automaton().iter(text):
         at = last - size + 1
         if kind == "digit":
             if at >= free["card"]:

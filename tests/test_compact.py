@@ -24,6 +24,7 @@ MIXED = (
     "Find the bug in this API flow.\n\n```json\n"
     f'{{"service":"checkout","errors":[{ERRORS},{ERRORS}]}}\n```\n'
 )
+# Texts and results that must be met exactly.
 GOLDEN = {
     "json_nodes": (
         '{"nodes":[{"id":1,"name":"Node 1"},{"id":2,"name":"Node 2"}]}\n',

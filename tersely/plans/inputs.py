@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream; it may be one file or a folder of files.
+
+    The path is a pattern: without one a file would be taken for a folder of partitions.
+    """
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 

@@ -720,13 +720,8 @@ def batch_hooks(spark, sf):
 
 
 def _event_stream(spark, sf):
-    schema = _events(spark, sf).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf)
-    )
+    """Events in one trigger: files of a folder need not follow each other in time."""
+    return inputs.table_stream(spark, sf, "events")
 
 
 @query
@@ -761,12 +756,7 @@ def stream_running_metrics(spark, sf):
 
 @query
 def stream_compact_prompts(spark, sf):
-    schema = inputs.table(spark, sf, "conversations").schema
-    source = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf)
-    )
+    source = inputs.table_stream(spark, sf, "conversations")
     folder = inputs.scratch(spark, "compacted")
 
     def write(out: DataFrame, batch_id: int) -> None:
@@ -799,12 +789,7 @@ def stream_log_runs(spark, sf):
 @query
 def stream_live_columns(spark, sf):
     folder = inputs.scratch(spark, "live")
-    schema = _documents(spark, sf).schema
-    source = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
+    source = inputs.table_stream(spark, sf, "documents")
     started = (
         stream_chunks.live_columns(source)
         .select("doc_id", "kind", "tokens", "input_hash")
@@ -833,9 +818,7 @@ def stream_audit_append(spark, sf):
 def _recorded_chunks(spark, sf) -> str:
     """Folder of the records and metrics of texts compacted as a stream in chunks of 500."""
     folder = inputs.scratch(spark, "chunk-records")
-    schema = inputs.table(spark, sf, "customer").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
-    texts = inputs.line_texts(source)
+    texts = inputs.line_texts(inputs.table_stream(spark, sf, "customer"))
     stream_chunks.record_chunks(
         texts, folder, F.col("segment"), F.col("made"), size=500
     ).awaitTermination()

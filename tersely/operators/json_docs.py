@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
 from tersely.functions.json_text import atom_value, plain_tokens, resolved, string_value, tokens
-from tersely.operators.skew import spread
+from tersely.operators.skew import spread, spread_rows
 
 
 def _quoted(names: Sequence[str]) -> str:
@@ -107,8 +107,9 @@ def numbered(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _resolved_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Row keys, id and text of each document, no object of which repeats a key.
 
-    Texts are resolved before they are spread: the windows that follow rely on that shuffle.
+    Texts are resolved before they are numbered: the windows that follow rely on that shuffle.
     """
+    documents = spread_rows(documents, id_col, text_col)
     own = F.get(resolved(F.array(text_col)), F.lit(0))
     rows = documents.select(id_col, F.coalesce(own, text_col).alias(text_col))
     return numbered(rows, id_col, text_col).select(*ROW_KEY, id_col, text_col)

@@ -290,16 +290,20 @@ def with_last_values(text: str) -> str:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _resolved(texts: pd.Series) -> pd.Series:
-    resolve = lambda t: None if t is None else with_last_values(t)
-    return texts.map(lambda found: [resolve(t) for t in found], na_action="ignore")
+def _resolved_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda found: [with_last_values(t) for t in found] if len(found) else None)
 
 
-def _repeating(texts: Column) -> Column:
+def _resolved(repeating: Column) -> Column:
+    # Empty arrays in place of NULLs: Arrow's lists count the NULLs before a row again for each row.
+    return _resolved_texts(F.coalesce(repeating, F.array().cast("array<string>")))
+
+
+def repeating_texts(texts: Column) -> Column:
     """Of an array of texts the JSON ones that repeat a key; NULL if there is none."""
-    found = F.filter(
-        texts, lambda t: F.coalesce(t.rlike(r"^\s*[\[{]") & repeated_keys(t), F.lit(False))
-    )
+    # Two keys need two colons.
+    may_repeat = lambda t: (F.substring_index(t, ":", 2) != t) & t.rlike(r"^\s*[\[{]")
+    found = F.filter(texts, lambda t: F.coalesce(may_repeat(t) & repeated_keys(t), F.lit(False)))
     return let(F.array_distinct(found), lambda some: F.when(F.size(some) > 0, some))
 
 
@@ -308,9 +312,9 @@ def resolved(texts: Column) -> Column:
 
     Only these leave the JVM, in Arrow batches.
     """
-    return _resolved(_repeating(texts))
+    return _resolved(repeating_texts(texts))
 
 
-def resolved_forms(texts: Column) -> Column:
-    """Map from each text of an array that repeats a key to its rewritten form; NULL if none does."""
-    return F.map_from_arrays(_repeating(texts), resolved(texts))
+def resolved_forms(repeating: Column) -> Column:
+    """Map from each text of a column of ``repeating_texts`` to its rewritten form; NULL if there is none."""
+    return F.map_from_arrays(repeating, _resolved(repeating))

@@ -21,6 +21,7 @@ from tersely.functions.text import compression_ratio, input_bytes, let
 from tersely.operators.hooks import BUILTIN, HEURISTIC, Compressor, Estimator
 from tersely.operators.json_docs import ROW_KEY, numbered, value_line, value_rows
 from tersely.operators.segments import block_texts, line_ranges_of, materialise, segments_of
+from tersely.operators.skew import spread_rows
 
 # --- fixed values -----------------------------------------------------------
 RULE_OF_KIND = {
@@ -321,13 +322,15 @@ def compact_documents(
     a repeated task gives the same rows.
     """
     options = options or DEFAULTS
+    documents = spread_rows(documents, id_col, text_col)
     may_hold = _may_hold_json(F.col(text_col))
     here = _prepared(documents.filter(~may_hold), text_col, options)
     here = here.withColumn("_forms", F.lit(None).cast("map<int,string>"))
     in_row = _decided(_with_rewrites(here, options), text_col, options)
-    # Texts that repeat a key are resolved before the shuffle, which the windows rely on.
-    plain = json_text.resolved_forms(block_texts(F.col(text_col)))
-    candidates = documents.filter(may_hold).withColumn("_plain", plain)
+    # Texts that repeat a key are resolved before the second shuffle, which the windows rely on.
+    repeating = json_text.repeating_texts(block_texts(F.col(text_col)))
+    candidates = materialise(documents.filter(may_hold), _repeating=repeating)
+    candidates = candidates.withColumn("_plain", json_text.resolved_forms(F.col("_repeating"))).drop("_repeating")
     candidates = numbered(candidates, id_col, text_col)
     forms = _json_forms(_prepared(candidates, text_col, options), ROW_KEY)
     shuffled = _decided(_with_rewrites(forms, options), text_col, options)

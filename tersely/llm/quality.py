@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under a character model of trusted text.
 
 The model is an interpolated modified Kneser-Ney model of ``ORDER`` characters for each
-language. It is fitted on half of the trusted documents of a language, at most
-``TRAIN_DOCS``, the ones with the smallest hash of their text; that bound is a parameter. Counts of the whole
+language. It is fitted on half of the trusted documents of a language, the ones with the
+smallest hash of their text, however many they are; all others of them set the thresholds. Counts of the whole
 order are occurrences, those of lower orders count different left neighbours; three
 discounts per order and language come from the counts of counts.
 
@@ -23,7 +23,7 @@ documents of its language that the model has not seen (of the one it has, if the
 only one). Digits count as one character.
 
 Few insults in ordinary text do not move that mean. So a second model of the same kind is
-fitted on half of the documents labelled toxic in each language, ``TRAIN_DOCS`` at most, and
+fitted on half of the documents labelled toxic in each language, and
 looked up in the same shards. ``toxic_score`` is the best passage's likelihood ratio: the
 largest sum, over any run of characters, of the bits the toxic model saves, less ``DRIFT``
 for each. It too must be at most a quantile of trusted documents that no model has seen. A
@@ -64,7 +64,6 @@ from tersely.llm.common import (
 )
 
 ORDER = 5
-TRAIN_DOCS = 4_000
 PRIOR = 60
 QUANTILE = 0.99
 #: Quantile of trusted rows' toxic scores, and bits a character must add to lengthen a passage.
@@ -135,6 +134,30 @@ def row_hashes(grams: np.ndarray) -> np.ndarray:
     return rolling(mixed(grams.astype(U64)).ravel(), size)[::size] if len(grams) else np.zeros(0, U64)
 
 
+class Index:
+    """Places of 64-bit hashes in a sorted array without repeats, found from their first bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.shift = U64(64 - max(1, len(known).bit_length()))
+        runs = np.arange(1 << (64 - int(self.shift)), dtype=U64) << self.shift
+        self.first = np.searchsorted(known, runs)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it stands there."""
+        last = len(self.known) - 1
+        if last < 0:
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(self.first[hashes >> self.shift], last)
+        found = self.known[at]
+        low = np.flatnonzero((found < hashes) & (at < last))
+        while len(low):
+            at[low] += 1
+            found[low] = self.known[at[low]]
+            low = low[(found[low] < hashes[low]) & (at[low] < last)]
+        return at, found == hashes
+
+
 def shards_of(grams: np.ndarray) -> np.ndarray:
     """Shard of rows of code points; ``shard_column`` gives the same in Spark."""
     return (grams[:, -3].astype(np.int64) * 37 + grams[:, -2]) % SHARDS
@@ -178,14 +201,12 @@ def gram_rows(docs: DataFrame) -> DataFrame:
             for lang, _, texts in language_groups(batch):
                 codes, starts, counts = characters(texts)
                 at = ragged(starts, counts)
-                hashes, first = np.unique(gram_hashes(codes)[at], return_index=True)
+                hashes = gram_hashes(codes)[at]
                 known = seen.get(lang, np.zeros(0, U64))
-                place = np.searchsorted(known, hashes)
-                new = np.ones(len(hashes), dtype=bool)
-                if len(known):
-                    new = known[np.minimum(place, len(known) - 1)] != hashes
-                seen[lang] = np.insert(known, place[new], hashes[new])
-                grams = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[at[first[new]]]
+                some = np.flatnonzero(~Index(known).places(hashes)[1])
+                new, first = np.unique(hashes[some], return_index=True)
+                seen[lang] = np.insert(known, np.searchsorted(known, new), new)
+                grams = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[at[some[first]]]
                 if len(grams):
                     pending.setdefault(lang, []).append(grams)
                     held += len(grams)
@@ -290,7 +311,7 @@ class Shard:
 
     def __init__(self, folder: str, shard: int):
         store, root = pafs.FileSystem.from_uri(folder)
-        self.values: dict[tuple[str, str, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.values: dict[tuple[str, str, int], tuple[Index, np.ndarray]] = {}
         for name in (SHORT, shard):
             own = f"{root}/shard={name}"
             if store.get_file_info(own).type == pafs.FileType.Directory:
@@ -304,22 +325,22 @@ class Shard:
             texts = "".join(own["gram"].to_pylist()).encode("utf-8", "surrogatepass")
             hashes = row_hashes(unpacked(texts, key["size"])) if key["size"] else np.zeros(1, U64)
             order = np.argsort(hashes)
-            self.values[key["lang"], key["kind"], key["size"]] = hashes[order], own["value"].to_numpy()[order]
+            self.values[key["lang"], key["kind"], key["size"]] = Index(hashes[order]), own["value"].to_numpy()[order]
 
     def value(self, lang: str, kind: str, grams: np.ndarray, default: float) -> np.ndarray:
         known = self.values.get((lang, kind, grams.shape[1]))
         if known is None:
             return np.full(len(grams), default)
         hashes = row_hashes(grams) if grams.shape[1] else np.zeros(len(grams), U64)
-        at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
-        return np.where(known[0][at] == hashes, known[1][at], default)
+        at, there = known[0].places(hashes)
+        return np.where(there, known[1][at], default)
 
     def bits(self, lang: str, grams: np.ndarray) -> np.ndarray | None:
         """Bits of each n-gram; null for a language without a model."""
         letters = self.values.get((lang, "share", 1))
         if letters is None:
             return None
-        chance = np.full(len(grams), 1 / (len(letters[0]) + 1))
+        chance = np.full(len(grams), 1 / (len(letters[0].known) + 1))
         for size in range(1, ORDER + 1):
             rest = self.value(lang, "rest", grams[:, ORDER - size : -1], 1.0)
             chance = self.value(lang, "share", grams[:, ORDER - size :], 0.0) + rest * chance
@@ -358,7 +379,7 @@ class Probabilities:
     def __init__(self, folder: str, part: int):
         self.store, root = pafs.FileSystem.from_uri(folder)
         self.parts = f"{root}/parts"
-        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # hashes, and rows of bits and ratio
+        self.known: dict[str, tuple[Index, np.ndarray]] = {}  # hashes, and rows of bits and ratio
         own = f"{self.parts}/part={part}"
         if self.store.get_file_info(own).type == pafs.FileType.Directory:
             self.learn(ds.dataset(own, filesystem=self.store, format="parquet"))
@@ -376,10 +397,11 @@ class Probabilities:
                     hashes, bits = hashes[some], bits[some]
                 found.setdefault(row["lang"], []).append((hashes, bits))
         for lang, own in found.items():
-            own += [self.known[lang]] if lang in self.known else []
+            if lang in self.known:
+                own.append((self.known[lang][0].known, self.known[lang][1]))
             hashes, bits = (np.concatenate(column) for column in zip(*own, strict=True))
             hashes, first = np.unique(hashes, return_index=True)
-            self.known[lang] = hashes, bits[first]
+            self.known[lang] = Index(hashes), bits[first]
 
     def of(self, lang: str, hashes: np.ndarray, grams) -> np.ndarray:
         """Bits and ratio of each hash of a language with a model. ``grams`` gives rows of code points by place."""
@@ -393,11 +415,13 @@ class Probabilities:
         return self.found(lang, hashes)
 
     def found(self, lang: str, hashes: np.ndarray) -> np.ndarray:
-        known, bits = self.known.get(lang, (np.zeros(0, U64), np.zeros((0, 2))))
-        if not len(known):
+        if lang not in self.known:
             return np.full((len(hashes), 2), np.nan)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where((known[at] == hashes)[:, None], bits[at], np.nan)
+        known, bits = self.known[lang]
+        at, there = known.places(hashes)
+        found = bits[at]
+        found[~there] = np.nan
+        return found
 
 
 def best_passages(ratio: np.ndarray, counts: np.ndarray, drift: float) -> list[float]:
@@ -451,7 +475,6 @@ def document_bits(docs: DataFrame, folder: str, langs: list[str]) -> DataFrame:
 def quality(
     docs: DataFrame,
     labels: DataFrame,
-    train_docs: int = TRAIN_DOCS,
     quantile: float = QUANTILE,
     prior: float = PRIOR,
     toxic_quantile: float = TOXIC_QUANTILE,
@@ -487,8 +510,7 @@ def quality(
     )
     # Ranked by ranges of hashes, so that no task sorts a whole class.
     ranked = placed(classed, ["lang", "toxic"], ["doc_key", "doc_id"], "ranked")
-    fits = (F.col("at") < train_docs) & (2 * F.col("at") < F.col("of"))
-    trained = written(ranked.where(fits).select("doc_id", "lang", "toxic").distinct(), "trained")
+    trained = written(ranked.where(2 * F.col("at") < F.col("of")).select("doc_id", "lang", "toxic").distinct(), "trained")
     few = trained.count() <= MAX_BROADCAST_IDS
     sample = narrow.join(F.broadcast(trained) if few else trained, ["doc_id", "lang"]).withColumn(
         "lang", F.when(F.col("toxic"), F.concat(F.lit(TOXIC), "lang")).otherwise(F.col("lang"))

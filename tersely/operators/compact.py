@@ -1,8 +1,8 @@
 """Rewrite the structured parts of documents when that makes them shorter.
 
 Everything but nested JSON is decided and rewritten inside the document's row:
-no shuffle. Only documents that may hold JSON, by a cheap look at the text, are
-shuffled, once, by their id. Every document is classified once.
+no shuffle but one of the raw texts before all work. Only documents that may hold JSON, by a
+cheap look at the text, are shuffled once more, by their content. Every document is classified once.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import slices, texts_of
+from tersely.llm.common import kept, lean, slices, texts_of
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space on which words never depend: it is dropped and composes with nothing.
@@ -193,7 +193,7 @@ class PairIndexBpe:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_coders: dict[str, PairIndexBpe] = {}
+_coders: dict[str, PairIndexBpe] = kept(__name__)
 
 
 def coder(path: str) -> PairIndexBpe:
@@ -218,7 +218,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text") -
                 [*part.columns, ids, decoded], names=[*names, "token_ids", "decoded"]
             )
 
-    return docs.mapInArrow(encode, f"{schema},token_ids:array<int>,decoded:string")
+    return docs.mapInArrow(lean(encode), f"{schema},token_ids:array<int>,decoded:string")
 
 
 def bpe_digests(
@@ -241,4 +241,4 @@ def bpe_digests(
             )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(digest, DIGESTS)
+    return narrow.mapInArrow(lean(digest), DIGESTS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -153,6 +153,45 @@ def slices(
             yield batch.slice(first)
 
 
+#: What the operators keep in a worker process for its next tasks, by module.
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """The store of an operator's module in this worker process; ``lean`` steps of other modules empty it."""
+    return _kept.setdefault(module, {})
+
+
+def drop_others(module: str) -> None:
+    """Empty the stores of all modules but one."""
+    for name, held in _kept.items():
+        if name != module:
+            held.clear()
+
+
+def give_back() -> None:
+    """Return freed memory, which Arrow and the C library hold on to, to the system."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def lean(step: Callable) -> Callable:
+    """``step`` of a ``mapInArrow``, which leaves little behind in its worker process.
+
+    Workers outlive their tasks and lie beside the executor's heap in its memory. A task begins
+    without what other operators keep there, and at its end freed memory goes back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(step.__module__)
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def texts_of(batch: pa.RecordBatch, text_col: str) -> list[str]:
     """The texts of a batch, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]

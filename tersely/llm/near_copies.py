@@ -34,6 +34,7 @@ from tersely.llm.common import (
     U64,
     breaks,
     hashed_words,
+    lean,
     mixed,
     ragged,
     rolling,
@@ -130,7 +131,7 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
                 names=["doc_id", "doc_key", "has_id", "n_shingles", "set1", "set2", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(make, FEATURES)
+    return docs.mapInArrow(lean(make), FEATURES)
 
 
 def packed_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -144,7 +145,7 @@ def packed_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 [part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"]
             )
 
-    return docs.mapInArrow(make, "doc_id long, shingles binary")
+    return docs.mapInArrow(lean(make), "doc_id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +171,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_a = with_b.join(
         sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a"
     )
-    return with_a.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    return with_a.select("a", "b", "of_a", "of_b").mapInArrow(lean(check), "a long, b long")
 
 
 def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -351,7 +352,7 @@ def confirmed_in_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataF
             }
         )
 
-    needed = cells.mapInArrow(members, "cell long, doc_id long").join(sets, "doc_id")
+    needed = cells.mapInArrow(lean(members), "cell long, doc_id long").join(sets, "doc_id")
     return (
         cells.groupBy("cell").cogroup(needed.groupBy("cell")).applyInArrow(check, "a long, b long")
     )

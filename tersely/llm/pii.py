@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import slices, texts_of
+from tersely.llm.common import lean, slices, texts_of
 
 #: Kinds in the order in which spans are listed (fixed values).
 KINDS = ("email", "ip", "card", "phone", "login", "account", "address")
@@ -221,7 +221,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(scan, schema)
+    return narrow.mapInArrow(lean(scan), schema)
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -239,4 +239,4 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[place] = pa.array(texts, column.type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(lean(mask), docs.schema)

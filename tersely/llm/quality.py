@@ -51,6 +51,7 @@ from tersely.llm.common import (
     U64,
     breaks,
     folder,
+    lean,
     mixed,
     placed,
     ragged,
@@ -215,7 +216,7 @@ def gram_rows(docs: DataFrame) -> DataFrame:
                 pending, held = {}, 0
         yield from rows(part, pending)
 
-    return docs.select("lang", "text").mapInArrow(emit, "part int, lang string, shard int, grams binary")
+    return docs.select("lang", "text").mapInArrow(lean(emit), "part int, lang string, shard int, grams binary")
 
 
 def counted_grams(docs: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def counted_grams(docs: DataFrame) -> DataFrame:
                     names=["lang", "gram", "n"],
                 )
 
-    rows = docs.select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    rows = docs.select("lang", "text").mapInArrow(lean(count), "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -370,7 +371,7 @@ def gram_bits(grams: DataFrame, folder: str) -> DataFrame:
     kinds = {"part": pa.int32(), "lang": pa.string(), "shard": pa.int32()}
     schema = pa.schema(kinds | dict.fromkeys(("grams", "bits", "ratio"), pa.binary()))
     dealt = grams.repartition("shard", F.floor(F.col("part") / PARTS_EACH)).sortWithinPartitions("shard")
-    return dealt.mapInArrow(look_up, "part int, lang string, shard int, grams binary, bits binary, ratio binary")
+    return dealt.mapInArrow(lean(look_up), "part int, lang string, shard int, grams binary, bits binary, ratio binary")
 
 
 class Probabilities:
@@ -469,7 +470,7 @@ def document_bits(docs: DataFrame, folder: str, langs: list[str]) -> DataFrame:
             )
 
     schema = "doc_id long, doc_key long, lang string, n_chars long, bits double, toxic_score double"
-    return docs.select("doc_id", "doc_key", "lang", "text").mapInArrow(score, schema)
+    return docs.select("doc_id", "doc_key", "lang", "text").mapInArrow(lean(score), schema)
 
 
 def quality(

@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tersely.llm.bpe import byte_letters
 from tersely.llm.common import folder as scratch_folder
-from tersely.llm.common import slices, texts_of
+from tersely.llm.common import kept, lean, slices, texts_of
 
 #: White space as the vocabularies' patterns take it (fixed value).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -118,7 +118,7 @@ class ByteEncoder:
         return np.array(ids, dtype=self.kind).tobytes()
 
 
-_encoders: dict[str, ByteEncoder] = {}
+_encoders: dict[str, ByteEncoder] = kept(__name__)
 
 
 def encoder(path: str) -> ByteEncoder:
@@ -184,7 +184,7 @@ def write_token_files(
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", "text")
     )
-    parts = sorted(ordered.mapInArrow(write, MANIFEST).collect())
+    parts = sorted(ordered.mapInArrow(lean(write), MANIFEST).collect())
     bases = itertools.accumulate((p.n_tokens for p in parts), initial=0)
     rows = [(p.part, p.n_docs, p.n_tokens, base) for p, base in zip(parts, bases, strict=False)]
     return spark.createDataFrame(rows, MANIFEST)

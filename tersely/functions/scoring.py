@@ -22,7 +22,11 @@ OTHER_CONFIDENCE = 0.6
 
 def compaction_score(text: Column, kind: Column) -> Column:
     """Score between 0 and 1 for a segment of type ``kind``."""
-    kind = F.lower(kind)
+    return kind_score(text, F.lower(kind))
+
+
+def kind_score(text: Column, kind: Column) -> Column:
+    """The score for a kind in lower case, as segments have it."""
     objects = (F.length(text) - F.length(F.replace(text, F.lit('{"'), F.lit("")))) / 2
     json_score = JSON_BASE + F.greatest(F.lit(0.0), objects - 1) * JSON_STEP
     log_score = LOG_BASE + repeated_line_count(text) * LOG_STEP

@@ -29,9 +29,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
     An expression named several times in a lambda would be re-evaluated for
-    every element; a one-element array binds it to a lambda variable instead.
+    every element; the end of a fold over nothing binds it to a lambda variable instead.
+    An item of a one-element array would do too, but asks for the type of ``body``, lambdas
+    inside and all, again for each row.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def strip(text: Column) -> Column:

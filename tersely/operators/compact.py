@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tersely.functions import compact_form as form
 from tersely.functions import delimited, json_text, logs, traces, yaml_text
-from tersely.functions.scoring import compaction_score
+from tersely.functions.scoring import kind_score
 from tersely.functions.text import compression_ratio, input_bytes, let
 from tersely.operators.hooks import BUILTIN, HEURISTIC, Compressor, Estimator
 from tersely.operators.json_docs import ROW_KEY, numbered, value_line, value_rows
@@ -75,7 +75,7 @@ def gate(segment: Column, options: Options) -> Column:
     return (
         F.when(~options.enabled(kind), F.lit(DISABLED))
         .when(segment["confidence"] < options.min_confidence, F.lit(UNSURE))
-        .when(compaction_score(text, kind) < options.threshold, F.lit(LOW_SCORE))
+        .when(kind_score(text, kind) < options.threshold, F.lit(LOW_SCORE))
     )
 
 

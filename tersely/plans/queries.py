@@ -424,16 +424,21 @@ def result_summary(spark, sf):
 @query
 def inspect_payload(spark, sf):
     out = C.compact_documents(inputs.props_documents(_events(spark, sf)))
-    payload = C.inspect_payload(out)
-    get = lambda path: F.get_json_object("payload", path)
+    shape = (
+        "action string, delta long, input_bytes long, transformed string, "
+        "segments array<struct<type:string,line_end:long>>"
+    )
+    # Each payload is parsed once.
+    payload = segments.materialise(C.inspect_payload(out), _said=F.from_json("payload", shape))
+    first = F.get("_said.segments", F.lit(0))
     return payload.select(
         "doc_id",
-        get("$.action").alias("action"),
-        get("$.delta").cast("long").alias("tokens_saved"),
-        get("$.input_bytes").cast("long").alias("bytes"),
-        get("$.segments[0].type").alias("type"),
-        get("$.segments[0].line_end").cast("long").alias("line_end"),
-        get("$.transformed").alias("output"),
+        F.col("_said.action").alias("action"),
+        F.col("_said.delta").alias("tokens_saved"),
+        F.col("_said.input_bytes").alias("bytes"),
+        first["type"].alias("type"),
+        first["line_end"].alias("line_end"),
+        F.col("_said.transformed").alias("output"),
     )
 
 

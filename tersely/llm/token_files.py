@@ -52,8 +52,9 @@ UNITS = re.compile(
 )
 #: Units that the pattern keeps whole, so that the merges can be asked for them directly.
 ONE_PIECE = re.compile(f" ?(?:[{LATIN}]+|[{MARKS}]+)")
-MEMO_ENTRIES = 120_000
-SLICE_BYTES = 2_000_000
+#: Units of one generation of a memo, some 200 bytes each.
+MEMO_ENTRIES = 240_000
+SLICE_BYTES = 500_000
 
 MANIFEST = StructType(
     [StructField(name, LongType()) for name in ("part", "n_docs", "n_tokens", "base")]
@@ -61,6 +62,32 @@ MANIFEST = StructType(
 PLACES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class UnitIds(dict):
+    """The ids of units as bytes; a missing unit comes from the generation before or the library."""
+
+    def __init__(self, tokenizer, code: str, older: dict[str, bytes]):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+        self.code, self.older = code, older
+
+    def spelled(self, unit: str) -> str:
+        """A unit as the letters that stand for its bytes."""
+        if unit.isascii():
+            return unit.replace(" ", self.letters[32])
+        return "".join(map(self.letters.__getitem__, unit.encode()))
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None and ONE_PIECE.fullmatch(unit):
+            found = array(self.code, [t.id for t in self.model.tokenize(self.spelled(unit))]).tobytes()
+        elif found is None:
+            found = self.whole(unit)
+        self[unit] = found
+        return found
+
+
 class ByteEncoder:
     """The tokenizers library over whole texts, unit by unit.
 
@@ -77,46 +104,23 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-
-    def spelled(self, unit: str) -> str:
-        """A unit as the letters that stand for its bytes."""
-        if unit.isascii():
-            return unit.replace(" ", self.letters[32])
-        return "".join(map(self.letters.__getitem__, unit.encode()))
+        self.memo = UnitIds(self.tokenizer, self.code, {})
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        units = [None if self.added and self.added.search(t) else UNITS.findall(t) for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        memo = self.memo
-        unknown = set().union(*filter(None, units)) - memo.keys()
-        known = unknown & self.older.keys()
-        memo.update((u, self.older[u]) for u in known)
-        new = list(unknown - known)
-        whole = list(filter(ONE_PIECE.fullmatch, new))
-        for unit in whole:
-            memo[unit] = array(self.code, [t.id for t in self.model.tokenize(self.spelled(unit))]).tobytes()
-        mixed = list(set(new).difference(whole))
-        for first in range(0, len(mixed), 2_000):
-            some = mixed[first : first + 2_000]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for unit, item in zip(some, coded, strict=True):
-                memo[unit] = array(self.code, item.ids).tobytes()
+            self.memo.older = {}
+            self.memo = UnitIds(self.tokenizer, self.code, self.memo)
+        ids = self.memo
         return [
-            b"".join(map(memo.__getitem__, found)) if found is not None else self._whole(text)
-            for text, found in zip(texts, units, strict=True)
+            ids.whole(text)
+            if self.added and self.added.search(text)
+            else b"".join(map(ids.__getitem__, UNITS.findall(text)))
+            for text in texts
         ]
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.kind).tobytes()
-
 
 _encoders: dict[str, ByteEncoder] = kept(__name__)
 

@@ -66,9 +66,12 @@ def temporary() -> Iterator[None]:
 
 
 @contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run inside go when each has ended; Arrow batches are small."""
-    settings = {CLEANUP: "true"} | BATCH_BYTES
+def shuffles_released(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each has ended; Arrow batches are small.
+
+    ``more`` are further settings, which come before these.
+    """
+    settings = {CLEANUP: "true"} | BATCH_BYTES | (more or {})
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
@@ -82,11 +85,11 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, kept: bool = False, more: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the cluster's shared folder: its lineage is cut, its shuffles are gone."""
     spark = df.sparkSession
     path = folder(spark, name, kept)
-    with shuffles_released(spark):
+    with shuffles_released(spark, more):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -51,7 +51,14 @@ VALUES, ROWS = 128, 4
 HUBS, ROUNDS, FEW = 3, 8, 0.02
 #: Sketches of a pair at similarity 0.8 agree in 102 bytes on average, in fewer than 76
 #: with a probability below 1e-8.
-LEAST, BLOCK, PAIRS = 76, 1024, 200_000
+LEAST, BLOCK, PAIRS = 76, 1024, 32_768
+#: Bytes of text hashed at once; a worker holds some 25 times as much meanwhile.
+SLICE_BYTES = 400_000
+#: Batches of whole texts and sets: bytes to a Python worker, rows from Parquet's reader.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 PERMUTATIONS = VALUES // 2
 _seeds = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 TIMES, PLUS = _seeds[:PERMUTATIONS] | U64(1), _seeds[PERMUTATIONS:]
@@ -101,7 +108,7 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
     """Set size, set digest and band keys of each row; null digests for empty sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             shingles, bounds = shingle_sets(texts_of(part, "text"), shingle)
             sizes = np.diff(bounds)
             some = np.flatnonzero(sizes)
@@ -138,7 +145,7 @@ def packed_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and its shingle set as bytes of sorted 64-bit hashes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             shingles, bounds = shingle_sets(texts_of(part, "text"), shingle)
             sets = [shingles[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -164,8 +171,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     shared = int((y[at] == x).sum())
                     keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
     with_a = with_b.join(
@@ -378,7 +384,7 @@ def near_copies(
         own_id.isNotNull().alias("has_id"),
         F.col(text_col).alias("text"),
     )
-    made = written(features(narrow, shingle), "near-features")
+    made = written(features(narrow, shingle), "near-features", more=SMALL_BATCHES)
     filled = made.where("n_shingles > 0")
     classes = filled.groupBy("set1", "set2", "n_shingles").agg(
         F.min("doc_id").alias("class_id"),
@@ -428,12 +434,12 @@ def linked_classes(narrow: DataFrame, classes: DataFrame, shingle: int, percent:
     shared = written(members.join(several.select("band", "low"), "band"), "near-buckets")
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
     chosen = narrow.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = written(packed_sets(chosen, shingle), "near-sets")
+    sets = written(packed_sets(chosen, shingle), "near-sets", more=SMALL_BATCHES)
 
     labels, links = None, None
     for turn in range(ROUNDS):
         asked = written(hub_pairs(labelled(shared, labels), turn, percent), "near-pairs")
-        found = written(confirmed(asked, sets, percent), "near-links")
+        found = written(confirmed(asked, sets, percent), "near-links", more=SMALL_BATCHES)
         links = found if links is None else links.union(found)
         n_asked, n_found = asked.count(), found.count()
         if n_found:
@@ -441,5 +447,5 @@ def linked_classes(narrow: DataFrame, classes: DataFrame, shingle: int, percent:
         if n_found <= n_asked * FEW:
             break
     sketches = classes.select("class_id", "sketch").join(homes(shared), "class_id")
-    cells = written(apart(labelled(shared, labels), sketches), "near-cells")
+    cells = written(apart(labelled(shared, labels), sketches), "near-cells", more=SMALL_BATCHES)
     return components(links.union(confirmed_in_cells(cells, sets, percent)))
